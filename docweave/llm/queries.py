@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import langid, simhash
+from docweave.llm import bpe, langid, simhash
 from docweave.llm._common import table
 
 
@@ -19,6 +20,10 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_langid": op2_langid}
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), ["doc_id"])
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_langid": op2_langid, "op9_bpe": op9_bpe}
 
 ORACLE: dict[str, str] = {}
