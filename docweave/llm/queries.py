@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import bpe, langid, simhash
+from docweave.llm import bpe, langid, sharding, simhash
 from docweave.llm._common import table
 
 
@@ -20,10 +20,21 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
+    )
+    found = sharding.assign(docs, ["doc_id", "text_crc32", "size"], 8)
+    return found.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), ["doc_id"])
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_langid": op2_langid, "op9_bpe": op9_bpe}
+QUERIES = {"op1_simhash": op1_simhash, "op2_langid": op2_langid, "op3_sharding": op3_sharding, "op9_bpe": op9_bpe}
 
 ORACLE: dict[str, str] = {}
