@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import bpe, langid, sharding, simhash
-from docweave.llm._common import table
+from docweave.llm import bpe, langid, mixing, sharding, simhash
+from docweave.llm._common import stage, table
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,10 +31,25 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    slim = stage(
+        docs.select("doc_id", "source", mixing.words_in(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash")), "sized"
+    )
+    found = mixing.draws(slim, F.col("size"), ["doc_id", "text_hash"])
+    return found.select(
+        "doc_id",
+        "size",
+        F.col("__source_size").alias("source_size"),
+        F.col("__target").alias("target"),
+        (F.size("__shards") * F.col("size")).cast("long").alias("taken"),
+    )
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), ["doc_id"])
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_langid": op2_langid, "op3_sharding": op3_sharding, "op9_bpe": op9_bpe}
+QUERIES = {"op1_simhash": op1_simhash, "op2_langid": op2_langid, "op3_sharding": op3_sharding, "op4_mixing": op4_mixing, "op9_bpe": op9_bpe}
 
 ORACLE: dict[str, str] = {}
