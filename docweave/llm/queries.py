@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import bpe, langid, mixing, sharding, simhash
+from docweave.llm import bpe, langid, mixing, sharding, simhash, urlfilter
 from docweave.llm._common import stage, table
 
 
@@ -46,10 +46,33 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+def op5_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urlfilter.judge(pages, urlfilter.rule_table(spark, URL_RULES)).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP5_SQL = r"""
+WITH rules(rule_host, rule_path, verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'),
+       ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+     split AS (SELECT row_number() OVER () AS n, page_id, coalesce(substr(url, nullif(instr(url, '://'), 0) + 3), '') AS rest FROM pages),
+     urls AS (SELECT n, page_id,
+                translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM split),
+     fits AS (SELECT n, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
+                arg_max(verdict, length(rule_host || rule_path)) AS verdict
+              FROM urls JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+              GROUP BY n)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM urls LEFT JOIN fits USING (n)
+"""
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), ["doc_id"])
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_langid": op2_langid, "op3_sharding": op3_sharding, "op4_mixing": op4_mixing, "op9_bpe": op9_bpe}
+QUERIES = {"op1_simhash": op1_simhash, "op2_langid": op2_langid, "op3_sharding": op3_sharding, "op4_mixing": op4_mixing, "op5_urlfilter": op5_urlfilter, "op9_bpe": op9_bpe}
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op5_urlfilter": OP5_SQL}
