@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import bpe, langid, mixing, sharding, simhash, urlfilter
+from docweave.llm import bpe, langid, mixing, ordermin, sharding, simhash, urlfilter
 from docweave.llm._common import stage, table
 
 
@@ -69,10 +69,14 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM url
 """
 
 
+def op6_ordermin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordermin.fingerprint_with_edits(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), ["doc_id"])
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_langid": op2_langid, "op3_sharding": op3_sharding, "op4_mixing": op4_mixing, "op5_urlfilter": op5_urlfilter, "op9_bpe": op9_bpe}
+QUERIES = {"op1_simhash": op1_simhash, "op2_langid": op2_langid, "op3_sharding": op3_sharding, "op4_mixing": op4_mixing, "op5_urlfilter": op5_urlfilter, "op6_ordermin": op6_ordermin, "op9_bpe": op9_bpe}
 
 ORACLE: dict[str, str] = {"op5_urlfilter": OP5_SQL}
