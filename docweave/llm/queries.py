@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import bpe, langid, mixing, ordermin, sharding, simhash, urlfilter
+from docweave.llm import bpe, langid, mixing, ordermin, sharding, simhash, tokenio, urlfilter
 from docweave.llm._common import stage, table
 
 
@@ -73,10 +73,17 @@ def op6_ordermin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordermin.fingerprint_with_edits(table(spark, sf_dir, "documents"))
 
 
+def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    path = tokenio.data_set_path(spark, "documents")
+    tokenio.write_ids(tokenio.tokenize(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2), path)
+    return tokenio.read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), ["doc_id"])
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_langid": op2_langid, "op3_sharding": op3_sharding, "op4_mixing": op4_mixing, "op5_urlfilter": op5_urlfilter, "op6_ordermin": op6_ordermin, "op9_bpe": op9_bpe}
+QUERIES = {"op1_simhash": op1_simhash, "op2_langid": op2_langid, "op3_sharding": op3_sharding, "op4_mixing": op4_mixing, "op5_urlfilter": op5_urlfilter, "op6_ordermin": op6_ordermin, "op7_token_ids": op7_token_ids, "op9_bpe": op9_bpe}
 
 ORACLE: dict[str, str] = {"op5_urlfilter": OP5_SQL}
