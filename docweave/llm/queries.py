@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import bpe, langid, mixing, ordermin, sharding, simhash, tokenio, urlfilter
+from docweave.llm import bpe, chat, langid, mixing, ordermin, sharding, simhash, tokenio, urlfilter
 from docweave.llm._common import stage, table
 
 
@@ -80,10 +80,17 @@ def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenio.read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = r"\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.format_turns(turns.unionByName(more)))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), ["doc_id"])
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_langid": op2_langid, "op3_sharding": op3_sharding, "op4_mixing": op4_mixing, "op5_urlfilter": op5_urlfilter, "op6_ordermin": op6_ordermin, "op7_token_ids": op7_token_ids, "op9_bpe": op9_bpe}
+QUERIES = {"op1_simhash": op1_simhash, "op2_langid": op2_langid, "op3_sharding": op3_sharding, "op4_mixing": op4_mixing, "op5_urlfilter": op5_urlfilter, "op6_ordermin": op6_ordermin, "op7_token_ids": op7_token_ids, "op8_chat": op8_chat, "op9_bpe": op9_bpe}
 
 ORACLE: dict[str, str] = {"op5_urlfilter": OP5_SQL}
