@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import bpe, chat, langid, mixing, ordermin, sharding, simhash, tokenio, urlfilter
+from docweave.llm import bpe, chat, langid, mixing, ordermin, sharding, simhash, tokenio, topk, urlfilter
 from docweave.llm._common import stage, table
 
 
@@ -91,6 +91,23 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), ["doc_id"])
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_langid": op2_langid, "op3_sharding": op3_sharding, "op4_mixing": op4_mixing, "op5_urlfilter": op5_urlfilter, "op6_ordermin": op6_ordermin, "op7_token_ids": op7_token_ids, "op8_chat": op8_chat, "op9_bpe": op9_bpe}
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), 5, F.col("vec_id") % 50 == 0)
 
-ORACLE: dict[str, str] = {"op5_urlfilter": OP5_SQL}
+
+OP10_SQL = """
+WITH v AS (SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+           FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     s AS (SELECT q.n AS qn, q.vec_id AS query_id, c.vec_id AS vec_id,
+             CAST(list_dot_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
+           FROM v q JOIN v c ON q.n <> c.n AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0),
+     r AS (SELECT *, row_number() OVER (PARTITION BY qn ORDER BY score DESC, vec_id) AS k FROM s)
+SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 5
+"""
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_langid": op2_langid, "op3_sharding": op3_sharding, "op4_mixing": op4_mixing, "op5_urlfilter": op5_urlfilter, "op6_ordermin": op6_ordermin, "op7_token_ids": op7_token_ids, "op8_chat": op8_chat, "op9_bpe": op9_bpe, "op10_topk": op10_topk}
+
+ORACLE: dict[str, str] = {"op5_urlfilter": OP5_SQL, "op10_topk": OP10_SQL}
