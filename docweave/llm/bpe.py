@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from docweave.llm._common import raw_text, slices
 
 #: Fragments that a worker remembers; the table starts anew beyond that.
-REMEMBER = 400_000
+REMEMBER = 600_000
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -75,9 +75,11 @@ class Codec:
         self.known: dict[bytes, tuple] = {}
 
     def cuts(self, data: np.ndarray) -> np.ndarray:
-        """Places inside ``data`` where it is certain that no token crosses."""
+        """By place from 0 to the end of ``data``: is it certain that no token
+        crosses it?"""
+        out = np.zeros(len(data) + 1, bool)
         if len(data) < 2:
-            return np.zeros(0, np.int64)
+            return out
         pair = data[:-1].astype(np.uint16) << 8 | data[1:]
         marks = self.cut[pair]
         whole = data.tobytes()
@@ -87,7 +89,8 @@ class Codec:
                 marks[max(0, at - 1) : at + len(token)] = False
                 marks[[p - 1 for p in (at, at + len(token)) if 0 < p < len(data)]] = True
                 at = whole.find(token, at + len(token))
-        return np.flatnonzero(marks) + 1
+        out[1:-1] = marks
+        return out
 
     def encode_fragments(self, fragments: list[bytes]) -> list[np.ndarray]:
         """Ids of each fragment by itself."""
@@ -96,7 +99,7 @@ class Codec:
         for k in range(0, len(rest), 20_000):
             part = rest[k : k + 20_000]
             text = self.parting.join(fragments[i].decode("utf-8", "replace") for i in part)
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int64)
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
             bounds = np.flatnonzero(ids == self.parting_id)
             for i, x in zip(part, np.split(ids, bounds), strict=True):
                 out[i] = x if i == part[0] else x[1:]
@@ -131,13 +134,13 @@ def codec(path: str, use: str = "") -> Codec:
 def fragment_slices(codec_: Codec, column: pa.Array):
     """(distinct fragments, fragment numbers of all texts, ends by text)."""
     data, offsets = raw_text(column)
-    cuts = codec_.cuts(data)
-    # text boundaries are always cuts
-    bounds = np.union1d(cuts, offsets)
+    marks = codec_.cuts(data)
+    marks[offsets] = True  # text boundaries are always cuts
+    bounds = np.flatnonzero(marks)
     if bounds[-1] == 0:
         return [], np.zeros(0, np.int64), np.zeros(len(offsets) - 1, np.int64)
     whole = pa.Array.from_buffers(
-        pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]
+        pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))]
     )
     coded = whole.dictionary_encode()
     ends = np.searchsorted(bounds, offsets[1:])
