@@ -36,6 +36,7 @@ DIM_BITS = 16
 DIM = 1 << DIM_BITS
 MAX_TRAIN = 4000
 MAX_LANGUAGES = 500
+SLICE = 1 << 19
 UNDETERMINED = "und"
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _letters: np.ndarray | None = None
@@ -78,7 +79,7 @@ def features(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[str, np.ndarray] = {}
     for batch in batches:
-        for part in slices(batch, "text", 1 << 21):
+        for part in slices(batch, "text", SLICE):
             langs = part.column("lang").to_pylist()
             for hashed, n in features(part.column("text").to_pylist()):
                 at = np.cumsum(n) - n
@@ -120,7 +121,7 @@ def _predict(model, keep: list[str]):
         langs, logs = model.value
         names = np.array([*langs, UNDETERMINED], dtype=object)
         for batch in batches:
-            for part in slices(batch, "text", 1 << 21):
+            for part in slices(batch, "text", SLICE):
                 total, found = np.zeros((len(langs), part.num_rows)), np.zeros(part.num_rows, np.int64)
                 for hashed, n in features(part.column("text").to_pylist()):
                     some = np.flatnonzero(n)
