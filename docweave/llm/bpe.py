@@ -25,17 +25,20 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm._common import raw_text, slices
+from docweave.llm._common import lean, ragged, raw_text, slices
 
 #: Fragments that a worker remembers; the table starts anew beyond that.
-REMEMBER = 600_000
+REMEMBER = 500_000
+#: Fragments that go to the library in one call.
+CHUNK = 400
+SLICE = 4 << 20
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -72,7 +75,13 @@ class Codec:
         safe &= (right != ord("'")) & ~_WHITE[left]
         safe &= (left < 0x80) | _WHITE[right]
         self.cut = ~inside & safe
-        self.known: dict[bytes, tuple] = {}
+        self.digits = {i: str(i) for i in self.bytes_of}
+        self.forget()
+
+    def forget(self):
+        self.known: dict[bytes, int] = {}
+        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.int32)
 
     def cuts(self, data: np.ndarray) -> np.ndarray:
         """By place from 0 to the end of ``data``: is it certain that no token
@@ -92,43 +101,61 @@ class Codec:
         out[1:-1] = marks
         return out
 
-    def encode_fragments(self, fragments: list[bytes]) -> list[np.ndarray]:
-        """Ids of each fragment by itself."""
-        out: list[np.ndarray | None] = [np.array([self.added[f]]) if f in self.added else None for f in fragments]
-        rest = [i for i, x in enumerate(out) if x is None]
-        for k in range(0, len(rest), 20_000):
-            part = rest[k : k + 20_000]
-            text = self.parting.join(fragments[i].decode("utf-8", "replace") for i in part)
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
-            bounds = np.flatnonzero(ids == self.parting_id)
-            for i, x in zip(part, np.split(ids, bounds), strict=True):
-                out[i] = x if i == part[0] else x[1:]
-        return out
+    def encode_fragments(self, fragments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of fragments, each encoded by itself, their number by fragment)."""
+        flat, sizes = [], []
+        for k in range(0, len(fragments), CHUNK):
+            part = fragments[k : k + CHUNK]
+            special = [i for i, f in enumerate(part) if f in self.added]
+            texts = ["" if f in self.added else f.decode("utf-8", "replace") for f in part]
+            ids = np.array(self.tokenizer.encode_batch_fast([self.parting.join(texts)], add_special_tokens=False)[0].ids, np.int32)
+            parted = ids == self.parting_id
+            bounds = np.concatenate([[-1], np.flatnonzero(parted), [len(ids)]])
+            ids, size = ids[~parted], np.diff(bounds) - 1
+            if special:
+                at = np.cumsum(size)[special]
+                ids = np.insert(ids, at, [self.added[part[i]] for i in special])
+                size[special] = 1
+            flat.append(ids)
+            sizes.append(size)
+        return np.concatenate(flat), np.concatenate(sizes)
 
     def decode(self, ids) -> bytes:
         """Bytes of ids, added tokens included."""
-        return b"".join(self.bytes_of[i] for i in ids)
-
-    def lookup(self, fragments: list[bytes], render: Callable) -> list:
-        """What ``render`` makes of each distinct fragment's ids."""
-        known = self.known
-        new = [f for f in fragments if f not in known]
-        if len(known) + len(new) > REMEMBER:
-            known.clear()
+        return b"".join(map(self.bytes_of.__getitem__, ids))
+
+    def numbers(self, fragments: list[bytes]) -> np.ndarray:
+        """Numbers of fragments in the table of what is known."""
+        new = [f for f in fragments if f not in self.known]
+        if len(self.known) + len(new) > REMEMBER:
+            self.forget()
             new = fragments
         if new:
-            known.update(zip(new, map(render, self.encode_fragments(new)), strict=True))
-        return [known[f] for f in fragments]
+            flat, sizes = self.encode_fragments(new)
+            self.known.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new)), strict=True))
+            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+            self.sizes = np.concatenate([self.sizes, sizes])
+            self.flat = np.concatenate([self.flat, flat])
+        return np.fromiter(map(self.known.__getitem__, fragments), np.int64, len(fragments))
 
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, offsets by text); an added token may not seem to
+        span two texts of the column."""
+        distinct, order, ends = fragment_slices(self, column)
+        own = self.numbers(distinct)[order] if distinct else np.zeros(0, np.int64)
+        sizes = self.sizes[own]
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        return self.flat[ragged(self.starts[own], sizes)], np.concatenate([[0], upto[ends]])
 
-_codecs: dict[tuple[str, str], Codec] = {}
 
+_codecs: dict[str, Codec] = {}
 
-def codec(path: str, use: str = "") -> Codec:
-    """The codec of a file, one per worker and use."""
-    if (path, use) not in _codecs:
-        _codecs[path, use] = Codec(path)
-    return _codecs[path, use]
+
+def codec(path: str) -> Codec:
+    """The codec of a file, one per worker."""
+    if path not in _codecs:
+        _codecs[path] = Codec(path)
+    return _codecs[path]
 
 
 def fragment_slices(codec_: Codec, column: pa.Array):
@@ -147,41 +174,27 @@ def fragment_slices(codec_: Codec, column: pa.Array):
     return coded.dictionary.to_pylist(), coded.indices.to_numpy(), ends
 
 
-def _with_boundaries(codec_: Codec, column: pa.Array):
-    """As fragment_slices, where an added token may not span two texts."""
-    if any(len(t) > 1 for t in codec_.added):
-        data, offsets = raw_text(column)
-        whole = data.tobytes()
-        if any(t in whole for t in codec_.added):
-            return None
-    return fragment_slices(codec_, column)
-
-
-def _parts(codec_: Codec, part: pa.RecordBatch):
+def _parts(codec_: Codec, whole: pa.RecordBatch):
     """Slices of rows in which no added token can seem to span two texts."""
-    found = _with_boundaries(codec_, part.column("text"))
-    if found is not None:
-        yield part, found
+    data, _ = raw_text(whole.column("text"))
+    text = data.tobytes()
+    if any(t in text for t in codec_.added):
+        yield from (whole.slice(i, 1) for i in range(whole.num_rows))
     else:
-        for i in range(part.num_rows):
-            row = part.slice(i, 1)
-            yield row, fragment_slices(codec_, row.column("text"))
+        yield whole
 
 
 def _encode(path: str, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, "ids")
+        c = codec(path)
         for batch in batches:
-            for whole in slices(batch, "text"):
-                for part, (distinct, numbers, ends) in _parts(c, whole):
-                    ids = c.lookup(distinct, lambda x: x.astype(np.int32))
-                    size = np.fromiter(map(len, ids), np.int64, len(ids))
-                    flat = np.concatenate([ids[k] for k in numbers.tolist()]) if len(numbers) else np.zeros(0, np.int32)
-                    upto = np.concatenate([[0], np.cumsum(size[numbers])])[ends]
-                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], upto]).astype(np.int32)), pa.array(flat))
+            for whole in slices(batch, "text", SLICE):
+                for part in _parts(c, whole):
+                    ids, offsets = c.encode(part.column("text"))
+                    lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
                     yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keep], lists], [*keep, "ids"])
 
-    return run
+    return lean(run)
 
 
 def _rows(docs: DataFrame, keep: list[str], text_col: str):
@@ -203,12 +216,12 @@ def encode(docs: DataFrame, path: str, keep: list[str], text_col: str = "text")
 
 def _decode(path: str, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, "ids")
+        c = codec(path)
         for batch in batches:
             texts = [c.decode(ids or ()).decode("utf-8", "replace") for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], pa.array(texts, pa.string())], [*keep, "text"])
 
-    return run
+    return lean(run)
 
 
 def decode(encoded: DataFrame, path: str, keep: list[str], ids_col: str = "ids") -> DataFrame:
@@ -222,33 +235,23 @@ def decode(encoded: DataFrame, path: str, keep: list[str], ids_col: str = "ids")
 
 def _digest(path: str, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, "digest")
-
-        def render(ids):
-            listed = ids.tolist()
-            return len(listed), "".join(f"{i}," for i in listed).encode(), c.decode(listed)
-
+        c = codec(path)
+        sha, digits = hashlib.sha256, c.digits.__getitem__
         for batch in batches:
-            for whole in slices(batch, "text"):
-                for part, (distinct, numbers, ends) in _parts(c, whole):
-                    made = c.lookup(distinct, render)
-                    counts, at, count = [], 0, np.fromiter((m[0] for m in made), np.int64, len(made))
+            for whole in slices(batch, "text", SLICE):
+                for part in _parts(c, whole):
+                    ids, offsets = c.encode(part.column("text"))
                     id_hex, text_hex = [], []
-                    upto = np.concatenate([[0], np.cumsum(count[numbers])])
-                    order = numbers.tolist()
-                    for end in ends.tolist():
-                        own = [made[k] for k in order[at:end]]
-                        counts.append(int(upto[end] - upto[at]))
-                        id_hex.append(hashlib.sha256(b"".join([m[1] for m in own])[:-1]).hexdigest())
-                        text = b"".join([m[2] for m in own]).decode("utf-8", "replace")
-                        text_hex.append(hashlib.sha256(text.encode()).hexdigest())
-                        at = end
+                    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                        own = ids[a:b].tolist()
+                        id_hex.append(sha(",".join(map(digits, own)).encode()).hexdigest())
+                        text_hex.append(sha(c.decode(own).decode("utf-8", "replace").encode()).hexdigest())
                     yield pa.RecordBatch.from_arrays(
-                        [*[part.column(k) for k in keep], pa.array(counts, pa.int64()), pa.array(id_hex), pa.array(text_hex)],
+                        [*[part.column(k) for k in keep], pa.array(np.diff(offsets)), pa.array(id_hex), pa.array(text_hex)],
                         [*keep, "n_tokens", "ids_sha256", "decoded_sha256"],
                     )
 
-    return run
+    return lean(run)
 
 
 def digests(docs: DataFrame, path: str, keep: list[str], text_col: str = "text") -> DataFrame:

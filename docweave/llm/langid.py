@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm._common import bounded_collect, slices
+from docweave.llm._common import bounded_collect, lean, slices
 
 #: Lengths of the n-grams.
 SIZES = (2, 3)
@@ -107,7 +107,7 @@ def train(docs: DataFrame, usable: Column, id_col="doc_id", text_col="text", lan
         share = F.when(F.col(lang_col) == r["lang"], F.lit(min(1.0, max_train / r["count"]))).otherwise(share)
     drawn = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 20)) < share * (1 << 20)
     sample = rows.filter(drawn).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    counted = sample.mapInArrow(_count_batches, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
+    counted = sample.mapInArrow(lean(_count_batches), "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
     counts = np.zeros((len(langs), DIM))
     place = {lang: i for i, lang in enumerate(langs)}
     for r in counted.toArrow().to_pylist():
@@ -116,14 +116,14 @@ def train(docs: DataFrame, usable: Column, id_col="doc_id", text_col="text", lan
     return langs, np.log(smooth / smooth.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
-def _predict(model, keep: list[str]):
+def _predict(model, keep: list[str], text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, logs = model.value
         names = np.array([*langs, UNDETERMINED], dtype=object)
         for batch in batches:
-            for part in slices(batch, "text", SLICE):
+            for part in slices(batch, text, SLICE):
                 total, found = np.zeros((len(langs), part.num_rows)), np.zeros(part.num_rows, np.int64)
-                for hashed, n in features(part.column("text").to_pylist()):
+                for hashed, n in features(part.column(text).to_pylist()):
                     some = np.flatnonzero(n)
                     if len(some):
                         at = (np.cumsum(n) - n)[some]
@@ -140,7 +140,7 @@ def _predict(model, keep: list[str]):
                     [*columns, pa.array(names[best], pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"]
                 )
 
-    return run
+    return lean(run)
 
 
 def predict(docs: DataFrame, model, keep: list[str], text_col: str = "text") -> DataFrame:
@@ -150,9 +150,11 @@ def predict(docs: DataFrame, model, keep: list[str], text_col: str = "text") ->
     sent = spark.sparkContext.broadcast(model)
     types = dict(docs.dtypes)
     names = [f"k{i}" for i in range(len(keep))]
-    rows = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], F.col(text_col).alias("text"))
+    text = names[keep.index(text_col)] if text_col in keep else "text"
+    more = [] if text_col in keep else [F.col(text_col).alias(text)]
+    rows = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], *more)
     schema = ", ".join([f"{n} {types[c]}" for c, n in zip(keep, names, strict=True)] + ["lang_pred string", "score double"])
-    out = rows.mapInArrow(_predict(sent, names), schema)
+    out = rows.mapInArrow(_predict(sent, names, text), schema)
     return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], "lang_pred", "score")
 
 

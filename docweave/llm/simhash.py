@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm._common import slices, stage
+from docweave.llm._common import lean, slices, stage
 
 SHINGLE = 4
 SEED = 42
@@ -80,7 +80,7 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp) of every row."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_fingerprint_batches, "doc_id long, fp long")
+    return rows.mapInArrow(lean(_fingerprint_batches), "doc_id long, fp long")
 
 
 # ------------------------------------------------------------------------ keys
@@ -206,12 +206,12 @@ def _connect(limit: int):
         close()
         yield _edges(pairs, hot)
 
-    return run
+    return lean(run)
 
 
 def links(nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Edges (a, b), a > b, that connect the linked rows of nodes(fp, rep)."""
-    keys = nodes.select("fp", "rep").mapInArrow(_key_batches, "key int, fp long, rep long")
+    keys = nodes.select("fp", "rep").mapInArrow(lean(_key_batches), "key int, fp long, rep long")
     dealt = keys.select(F.col("key").cast("long").alias("bucket"), "fp", "rep").repartition("bucket").sortWithinPartitions("bucket")
     found = stage(dealt.mapInArrow(_connect(bucket), "a long, b long, hot long"), "links")
     edges = found.filter("a is not null").select("a", "b")

@@ -21,12 +21,9 @@ TEXT = st.one_of(st.lists(st.sampled_from(PIECES), max_size=25).map("".join), st
 def ours(texts):
     batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
     out = []
-    for _, (distinct, numbers, ends) in bpe._parts(CODEC, batch):
-        ids = CODEC.encode_fragments(distinct)
-        at = 0
-        for end in ends.tolist():
-            out.append([int(i) for k in numbers[at:end].tolist() for i in ids[k]])
-            at = end
+    for part in bpe._parts(CODEC, batch):
+        ids, offsets = CODEC.encode(part.column("text"))
+        out += [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
     return out
 
 
