@@ -93,11 +93,11 @@ def draws(
     order = list(wanted)
     counts = {r["s"]: r["n"] for r in stats}
     plan = []
-    for s in order:
+    for sid, s in enumerate(order):
         passes = min(cap, int(wanted[s] // sizes[s])) if sizes[s] else 0
         rest = wanted[s] - passes * sizes[s] if passes < cap else 0.0
-        plan.append((s, sizes[s], wanted[s], passes, rest, max(1, -(-counts[s] // block_rows))))
-    schema = "s string, __source_size long, __target double, passes int, rest double, blocks int"
+        plan.append((s, sid, sizes[s], wanted[s], passes, rest, max(1, -(-counts[s] // block_rows))))
+    schema = "s string, sid int, __source_size long, __target double, passes int, rest double, blocks int"
     # one row per source, at most MAX_SOURCES
     by_source = F.broadcast(spark.createDataFrame(plan, schema))
     dealt = (
@@ -105,29 +105,25 @@ def draws(
     )
 
     # blocks in permuted order, with the words before each
-    every = Window.partitionBy("s").orderBy(F.xxhash64("s", "block", F.lit(seed)), "block")
+    every = Window.partitionBy("sid").orderBy(F.xxhash64("s", "block", F.lit(seed)), "block")
     blocks = (
-        dealt.groupBy("s", "block").agg(F.sum("__size").alias("words"), F.first("rest").alias("rest"))
+        dealt.groupBy("sid", "s", "block").agg(F.sum("__size").alias("words"), F.first("rest").alias("rest"))
         .withColumn("at", F.row_number().over(every) - 1)
         .withColumn("before", F.coalesce(F.sum("words").over(every.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     )
-    touched = {r["s"]: r["n"] for r in bounded_collect(
-        blocks.filter("before < rest").groupBy("s").agg(F.count("*").alias("n")), MAX_SOURCES, "sources")}
-    quotas = split([p[3] * p[5] + touched.get(p[0], 0) for p in plan], shards, seed)
+    touched = {r["sid"]: r["n"] for r in bounded_collect(
+        blocks.filter("before < rest").groupBy("sid").agg(F.count("*").alias("n")), MAX_SOURCES, "sources")}
+    quotas = split([p[4] * p[6] + touched.get(p[1], 0) for p in plan], shards, seed)
     upto = np.cumsum(np.array(quotas, np.int64).reshape(shards, -1), axis=0)
     bounds = F.broadcast(
-        spark.createDataFrame([(p[0], [int(x) for x in upto[:, i]]) for i, p in enumerate(plan)], "bs string, bounds array<long>")
+        spark.createDataFrame([(p[1], [int(x) for x in upto[:, i]]) for i, p in enumerate(plan)], "sid int, bounds array<long>")
     )
 
     # rows inside a block, with the words before each
-    inside = Window.partitionBy("s", "block").orderBy("__hash", *[F.col(k) for k in key])
+    inside = Window.partitionBy("sid", "block").orderBy("__hash", *[F.col(k) for k in key])
     placed = dealt.withColumn("within", F.sum("__size").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__size"))
-    found = (
-        placed.join(
-            blocks.select(F.col("s").alias("ks"), F.col("block").alias("kblock"), "at", "before"),
-            F.col("s").eqNullSafe(F.col("ks")) & (F.col("block") == F.col("kblock")),
-        ).join(bounds, F.col("s").eqNullSafe(F.col("bs")))
-    )
+    # the windows and this join deal rows out alike: rows move once
+    found = placed.join(blocks.select("sid", "block", "at", "before"), ["sid", "block"]).join(bounds, "sid")
     extra = (2 * (F.col("before") + F.col("within")) + F.col("__size") <= 2 * F.col("rest")) & (F.col("__size") > 0)
     times = F.col("passes") + F.when(extra, 1).otherwise(0)
     shard = lambda p: F.size(F.filter("bounds", lambda b: b <= p * F.col("blocks") + F.col("at")))
