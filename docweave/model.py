@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 SCHEMA_VERSION = 1
 
@@ -40,18 +39,14 @@ NODE_LABELS = {
 }
 EDGE_LABELS = {"CONTAINS": "Contains", "IMPORTS": "Imports", "CALLS": "Calls", "DOCUMENTS": "Documents"}
 
-def _schema(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
-
-
-LOCATION = T.StructType([T.StructField(n, T.IntegerType()) for n in ("startLine", "startColumn", "endLine", "endColumn")])
-REPOSITORIES = _schema("id long, repository_root string, current_revision string, indexed_at timestamp")
-FILES = _schema("repository_id long, path string, language string, content_hash string, last_indexed_at timestamp")
-NODES = _schema(
+# Schemas of the stored tables.
+REPOSITORIES = "id long, repository_root string, current_revision string, indexed_at timestamp"
+FILES = "repository_id long, path string, language string, content_hash string, last_indexed_at timestamp"
+NODES = (
     "repository_id long, node_id long, stable_id string, type string, name string, qualified_name string, file_path string, "
     "start_line int, end_line int, content_hash string, metadata string"
 )
-EDGES = _schema(
+EDGES = (
     "repository_id long, edge_id long, source_id long, target_id long, type string, evidence_type string, "
     "evidence_location struct<filePath:string,startLine:int,endLine:int>, certainty string, metadata string, "
     "created_at timestamp, updated_at timestamp"
