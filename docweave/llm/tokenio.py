@@ -13,9 +13,9 @@ of the part ahead of the block, doc_ids, counts, offsets, payload) and
 ``code`` (id, bits). Spark's writer commits them, so lost executors and
 any file system are Spark's concern.
 
-Tokenization goes by fragments: text is cut where the class of ASCII
-characters changes (letter, digit, white space, other), never after white
-space or an apostrophe, which the normalizer and the splitter of the
+Tokenization goes by fragments: text is cut where the class of characters
+changes (letter, digit, white space, other ASCII; see cuts()), never after
+white space or an apostrophe, which the normalizer and the splitter of the
 vocabulary cannot notice. Distinct fragments are encoded once per worker by the
 tokenizers library. Texts with ``<|`` (the start of an added token) go to the
 library whole.
@@ -28,6 +28,7 @@ table gives empty files.
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -38,23 +39,36 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm._common import ragged, raw_text, shared_dir, slices, stage
+from docweave.llm._common import lean, ragged, raw_text, shared_dir, slices, stage
 
 MAX_BITS = 18
 BLOCK = 1 << 18
 CHECKPOINT = 128
-SLICE = 4 << 20
+SLICE = 8 << 20
 #: Fragments that a worker remembers; the table starts anew beyond that.
 REMEMBER = 1_000_000
+#: Fragments that go to the library in one call.
+CHUNK = 400
 
+_SIMPLE = re.compile(rb"[ \t\n\r\x0b\x0c]*[a-z]+")
 _CLASS = np.full(256, 4, np.uint8)
 _CLASS[:128] = 3
 _CLASS[[9, 10, 11, 12, 13, 32]] = 0
 _CLASS[48:58] = 1
 _CLASS[65:91] = _CLASS[97:123] = 2
-_LEFT, _RIGHT = np.arange(65_536) >> 8, np.arange(65_536) & 255
-#: By byte pair: may a text be cut between the two?
-_CUT = (_CLASS[_LEFT] != _CLASS[_RIGHT]) & (_CLASS[_LEFT] < 4) & (_CLASS[_RIGHT] < 4) & (_CLASS[_LEFT] > 0) & (_LEFT != ord("'"))
+
+
+def cuts(data: np.ndarray) -> np.ndarray:
+    """By place between two bytes: may a text be cut there? Classes are white
+    space 0, digits 1, letters 2 (ASCII and those that UTF-8 writes as C3 and a
+    byte, other than the signs of multiplication and division), other ASCII 3,
+    and 4 for what is not told apart: after it only white space is a cut."""
+    kind = _CLASS[data]
+    latin = (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    kind[1:][latin] = 2
+    kind[:-1][latin] = 2
+    left, right = kind[:-1], kind[1:]
+    return (left != right) & (right < 4) & (left > 0) & (data[:-1] != ord("'")) & ((left < 4) | (right == 0))
 
 
 # --------------------------------------------------------------- tokenization
@@ -63,15 +77,21 @@ class Encoder:
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        # for words of lower-case ASCII letters, which normalizing leaves as they
+        # are and splitting leaves whole
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = WhitespaceSplit()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.parting, self.parting_id = spec["added_tokens"][0]["content"], spec["added_tokens"][0]["id"]
         suffix = spec["model"]["end_of_word_suffix"]
         size = self.tokenizer.get_vocab_size()
+        self.width = "<u2" if size <= 1 << 16 else "<u4"
         self.ends = np.zeros(size, bool)
         for token, i in spec["model"]["vocab"].items():
             self.ends[i] = token.endswith(suffix)
@@ -82,46 +102,57 @@ class Encoder:
         self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
 
-    def _one(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+    def _one(self, text: str, tokenizer=None) -> np.ndarray:
+        return np.array((tokenizer or self.tokenizer).encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
-    def _encode(self, fragments: list[bytes]) -> list[np.ndarray]:
-        texts = [f.decode("utf-8", "replace") for f in fragments]
-        out: list = [None] * len(texts)
+    def _encode(self, fragments: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """(ids one fragment after another, their number by fragment, the
+        fragments in the order of both)."""
+        simple = _SIMPLE.fullmatch
+        ascii_ = [f for f in fragments if simple(f)]
         plain, rest = [], []
-        for i, t in enumerate(texts):
-            (plain if t.strip().isalpha() else rest).append(i)
-        for k in range(0, len(plain), 10_000):
-            # words of letters only are one piece each, which ends in a marked token
-            part = plain[k : k + 10_000]
-            ids = self._one(" ".join(texts[i] for i in part))
-            at = np.flatnonzero(self.ends[ids]) + 1
-            if len(at) != len(part):
-                rest += part
-                continue
-            for i, x in zip(part, np.split(ids, at[:-1]), strict=True):
-                out[i] = x
-        for k in range(0, len(rest), 10_000):
-            part = rest[k : k + 10_000]
-            ids = self._one(self.parting.join(texts[i] for i in part))
-            for j, (i, x) in enumerate(zip(part, np.split(ids, np.flatnonzero(ids == self.parting_id)), strict=True)):
-                out[i] = x[1:] if j else x
-        return out
+        for f in fragments if len(ascii_) < len(fragments) else ():
+            if not simple(f):
+                (plain if f.decode("utf-8", "replace").strip().isalpha() else rest).append(f)
+        flat, sizes, order = [], [], []
+        for words, tokenizer in ((ascii_, self.model), (plain, self.tokenizer)):
+            for k in range(0, len(words), CHUNK):
+                # words of letters are one piece each, which ends in a marked token
+                part = words[k : k + CHUNK]
+                ids = self._one(b" ".join(part).decode("utf-8", "replace"), tokenizer)
+                ends = np.flatnonzero(self.ends[ids]) + 1
+                if len(ends) != len(part):
+                    rest += part
+                    continue
+                flat.append(ids)
+                sizes.append(np.diff(ends, prepend=0))
+                order += part
+        for k in range(0, len(rest), CHUNK):
+            part = rest[k : k + CHUNK]
+            ids = self._one(self.parting.join([f.decode("utf-8", "replace") for f in part]))
+            parted = ids == self.parting_id
+            bounds = np.concatenate([[-1], np.flatnonzero(parted), [len(ids)]])
+            flat.append(ids[~parted])
+            sizes.append(np.diff(bounds) - 1)
+            order += part
+        return np.concatenate(flat), np.concatenate(sizes), order
 
     def numbers(self, fragments: list[bytes]) -> np.ndarray:
         """Numbers of fragments in the table of what is known."""
-        new = [f for f in fragments if f not in self.known]
+        found = list(map(self.known.get, fragments))
+        new = [f for f, i in zip(fragments, found, strict=True) if i is None]
         if len(self.known) + len(new) > REMEMBER:
             self.forget()
             new = fragments
         if new:
-            made = self._encode(new)
-            sizes = np.fromiter(map(len, made), np.int64, len(made))
-            self.known.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new)), strict=True))
+            flat, sizes, order = self._encode(new)
+            self.known.update(zip(order, range(len(self.sizes), len(self.sizes) + len(new)), strict=True))
             self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
             self.sizes = np.concatenate([self.sizes, sizes])
-            self.flat = np.concatenate([self.flat, *made])
-        return np.fromiter(map(self.known.__getitem__, fragments), np.int64, len(fragments))
+            self.flat = np.concatenate([self.flat, flat])
+            known = self.known
+            found = [known[f] if i is None or new is fragments else i for f, i in zip(fragments, found, strict=True)]
+        return np.array(found, np.int64)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, their number by text)."""
@@ -136,7 +167,7 @@ class Encoder:
         data = data.copy()
         data[(data >= 65) & (data <= 90)] += 32
         marks = np.zeros(len(data) + 1, bool)
-        marks[1:-1] = _CUT[data[:-1].astype(np.uint16) << 8 | data[1:]]
+        marks[1:-1] = cuts(data)
         marks[offsets] = True
         bounds = np.flatnonzero(marks)
         coded = pa.Array.from_buffers(
@@ -180,18 +211,20 @@ def _tokenize(path: str, end_id: int):
             for whole in slices(batch, "text", SLICE):
                 for part in _parted(whole):
                     ids, sizes = e.encode(part.column("text"))
-                    out = np.full(len(ids) + len(sizes), end_id, np.uint32)
+                    out = np.full(len(ids) + len(sizes), end_id, e.width)
                     out[np.arange(len(ids)) + np.repeat(np.arange(len(sizes)), sizes)] = ids
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), _binary(out, sizes + 1)], ["doc_id", "ids"])
+                    width = pa.array(np.full(len(sizes), out.itemsize, np.int32))
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), width, _binary(out, sizes + 1)], ["doc_id", "width", "ids"])
 
-    return run
+    return lean(run)
 
 
 def tokenize(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids): ids as little-endian unsigned 32-bit integers, with the
-    end id after each document."""
+    """(doc_id, width, ids): ids as little-endian unsigned integers of
+    ``width`` bytes (2 where the vocabulary allows), with the end id after each
+    document."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_tokenize(path, end_id), "doc_id long, ids binary")
+    return rows.mapInArrow(_tokenize(path, end_id), "doc_id long, width int, ids binary")
 
 
 # ----------------------------------------------------------------------- code
@@ -276,11 +309,20 @@ class Code:
 
 
 # ------------------------------------------------------------------ file format
+def _values(batch: pa.RecordBatch):
+    """The ids of each row of (width, ids)."""
+    for width, value in zip(batch.column("width").to_pylist(), batch.column("ids"), strict=True):
+        yield np.frombuffer(value.as_buffer(), f"<u{width}")
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(0, np.int64)
     for batch in batches:
-        for value in batch.column("ids"):
-            own = np.bincount(np.frombuffer(value.as_buffer(), "<u4"))
+        # all ids of rows of one width at once: counting costs the vocabulary each time
+        by: dict[str, list] = {}
+        for ids in _values(batch):
+            by.setdefault(ids.dtype.str, []).append(ids)
+        for own in (np.bincount(np.concatenate(x)) for x in by.values()):
             if len(own) > len(counts):
                 counts = np.append(counts, np.zeros(len(own) - len(counts), np.int64))
             counts[: len(own)] += own
@@ -305,8 +347,7 @@ def _write_blocks(code):
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names)
 
         for batch in batches:
-            for doc, value in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
-                ids = np.frombuffer(value.as_buffer(), "<u4")
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), _values(batch), strict=True):
                 if held and size + len(ids) > BLOCK:
                     yield row()
                     block, before = block + 1, before + size
@@ -321,11 +362,11 @@ def _write_blocks(code):
 
 
 def write_ids(tokens: DataFrame, path: str) -> None:
-    """Write tokens(doc_id, ids) as a data set in ascending doc_id order."""
+    """Write tokens(doc_id, width, ids) as a data set in ascending doc_id order."""
     spark = tokens.sparkSession
     tokens = stage(tokens, "tokens")
     # at most one row per id of the vocabulary
-    counted = tokens.select("ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    counted = tokens.select("width", "ids").mapInArrow(lean(_count), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     ids, n = counted.column("id").to_numpy(), counted.column("n").to_numpy()
     counts = np.zeros(int(ids.max()) + 1 if len(ids) else 1, np.int64)
     counts[ids] = n
@@ -334,7 +375,7 @@ def write_ids(tokens: DataFrame, path: str) -> None:
     coded = [(int(i), int(lengths[i])) for i in np.flatnonzero(lengths)]
     spark.createDataFrame(coded, "id int, bits int").coalesce(1).write.parquet(f"{path}/code")
     ordered = tokens.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
-    ordered.mapInArrow(_write_blocks(code), BLOCKS).write.parquet(f"{path}/blocks")
+    ordered.mapInArrow(lean(_write_blocks(code)), BLOCKS).write.parquet(f"{path}/blocks")
 
 
 def _read_blocks(code):
@@ -370,7 +411,7 @@ def read_ids(spark: SparkSession, path: str, blocks: DataFrame | None = None) ->
     for part, n in sorted(sums.collect()):
         starts.append((part, total))
         total += n
-    rows = blocks.mapInArrow(_read_blocks(code), "part long, inside long, doc_id long, n_tokens long, ids binary")
+    rows = blocks.mapInArrow(lean(_read_blocks(code)), "part long, inside long, doc_id long, n_tokens long, ids binary")
     keys, values = [F.array(*[F.lit(s[i]).cast("long") for s in starts]).cast("array<long>") for i in (0, 1)]
     ahead = F.element_at(F.map_from_arrays(keys, values), F.col("part"))
     return rows.select("doc_id", (ahead + F.col("inside")).alias("start"), "n_tokens", "ids")

@@ -15,7 +15,7 @@ LIBRARY = Tokenizer.from_file(PATH)
 ENCODER = tokenio.Encoder(PATH)
 PIECES = [
     "the", "The", "THE", " ", "  ", "\n", "\t", " ", "\x1c", "'", "''", "'s", "'S", "'ll", "!'s", "don't", "123", "4$5", "$$$", "é", "É", "é", "İ",
-    "ß", "日本語", "\U0001f600", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|", "|>", "़", "٣", "Σ", "ς", "ﬁ", "`", "\x00", "a̋", "'re", "x'd",
+    "ß", "日本語", "\U0001f600", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|", "|>", "़", "٣", "Σ", "ς", "ﬁ", "`", "\x00", "a̋", "'re", "x'd", "×", "÷", "ñ,", "Ñ ", "Ã", "ÿ1", "–", "…", "\u0301", "¡ñ", "ç's",
 ]
 TEXT = st.one_of(st.lists(st.sampled_from(PIECES), max_size=25).map("".join), st.text(max_size=40))
 
