@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from docweave.operators import changes, generate, graph, impact, index, report
 from docweave.parsing import typescript
+from docweave.plans.materialize import settled
 from docweave.sources import git
 from docweave.sources.files import GraphStore, read_tree
 
@@ -35,9 +36,9 @@ def run_index(spark: SparkSession, root: str, store: GraphStore) -> index.Indexe
 def analyze(spark: SparkSession, root: str, base: str, target: str | None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(file changes, symbol changes, symbols before, symbols after)."""
     files = git.changes_between(spark, root, base, target)
-    before, after = (index.symbol_rows(typescript.parse_files(rows), rows) for rows in git.contents(spark, root, base, target, files))
+    before, after = (settled(index.symbol_rows(typescript.parse_files(rows), rows)) for rows in git.contents(spark, root, base, target, files))
     narrow = lambda rows: rows.drop("code")
-    return files, changes.symbol_changes(narrow(before), narrow(after)), before, after
+    return files, settled(changes.symbol_changes(narrow(before), narrow(after))), before, after
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -76,7 +77,7 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     done = run_index(spark, root, store)
     nodes, edges = store.read("nodes"), store.read("edges")
-    findings = impact.analyze_impact(nodes, edges, symbols, files, done.dangling)
+    findings = settled(impact.analyze_impact(nodes, edges, symbols, files, done.dangling))
     if args.command == "impact":
         findings.select("action", "certainty", "document_path", "section_heading", "explanation").show(truncate=False)
         return 0

@@ -11,6 +11,7 @@ from docweave import model
 from docweave.functions.text import digest, slice_lines
 from docweave.operators import changes, graph, resolve
 from docweave.parsing import markdown, typescript
+from docweave.plans.materialize import settled
 
 
 @dataclass
@@ -119,8 +120,9 @@ def index(spark: SparkSession, scan: DataFrame, files: DataFrame, nodes: DataFra
 
     reread = scan.join(again.select(F.col("file_path").alias("path")), "path", "left_semi")
     source = reread if strict_incremental else scan
-    code = typescript.parse_files(source.filter("language in ('typescript', 'javascript')"))
-    docs = markdown.parse_files(source.filter("language = 'markdown'"), prefix)
+    # parsing is the costly step and several tables come from it: it runs once
+    code = settled(typescript.parse_files(source.filter("language in ('typescript', 'javascript')")))
+    docs = settled(markdown.parse_files(source.filter("language = 'markdown'"), prefix))
     new_code, code_holds = code_nodes(code, repository)
     new_docs, doc_holds = document_nodes(docs, repository)
     fresh = new_code.unionByName(new_docs).join(again, "file_path", "left_semi")
