@@ -9,6 +9,8 @@ SCHEMA_VERSION = 1
 
 # Names that stored graphs and callers share.
 NODE_TYPES = ("file", "documentation_page", "documentation_section", "class", "function", "method")
+CODE_TYPES = ("file", "class", "function", "method")
+DOCUMENT_TYPES = ("documentation_page", "documentation_section")
 EDGE_TYPES = ("CONTAINS", "IMPORTS", "CALLS", "DOCUMENTS")
 EVIDENCE_TYPES = ("static_analysis", "explicit_annotation", "documentation_link", "ai_inferred")
 CERTAINTIES = ("HIGH", "MEDIUM", "LOW")

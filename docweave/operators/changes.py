@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docweave.functions.text import language
 from docweave.model import KIND_LABELS, labelled
 from docweave.operators.graph import last_wins
+from docweave.plans.materialize import settled
 
 SYMBOL_KEY = ("path_pair", "kind", "qualified_name")
 
@@ -120,7 +121,8 @@ def _described(kind: Column, name: Column, *rest: Column | str) -> Column:
 def symbol_changes(base: DataFrame, target: DataFrame) -> DataFrame:
     """The change set of two symbol snapshots: added, removed, modified and
     moved, with descriptions and evidence, in that order (``order_group``)."""
-    diff = diff_symbols(base, target)
+    # what changed is far less than what was compared, and five branches read it
+    diff = settled(diff_symbols(base, target).filter("status <> 'unchanged'"))
 
     def candidates(status: str, side: str) -> DataFrame:
         own = diff.filter(F.col("status") == status)
