@@ -35,10 +35,10 @@ from pyspark.sql import functions as F
 from docweave.llm._common import lean, ragged, raw_text, slices
 
 #: Fragments that a worker remembers; the table starts anew beyond that.
-REMEMBER = 500_000
+REMEMBER = 300_000
 #: Fragments that go to the library in one call.
 CHUNK = 400
-SLICE = 4 << 20
+SLICE = 2 << 20
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
 
