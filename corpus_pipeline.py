@@ -7,8 +7,9 @@ table in the shared folder and reads it back for the next.
 1. language ID: documents whose language can't be told go: those without a
    letter, and those where the best language has a posterior below
    ``MIN_SCORE``.
-2. SimHash near duplicates: of each group the document with the smallest
-   doc_id stays.
+2. near duplicates, by a similarity of 0.8 or more between their sets of
+   five-word shingles: of each group the document with the smallest doc_id
+   stays.
 3. mixing: sources are taken to their target weights, so a document stays 0 to
    3 times.
 4. BPE: ids of every row's whole text.
@@ -20,7 +21,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import bpe, langid, mixing, simhash
+from docweave.llm import bpe, langid, mixing, similar
 from docweave.llm._common import stage, table
 
 MIN_SCORE = 0.5
@@ -33,7 +34,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.drop_near_duplicates(docs)
+    return similar.drop_similar(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,12 +49,12 @@ def encode_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language ID", identify_language),
-    ("SimHash near-dedup", drop_near_duplicates),
+    ("near-dedup", drop_near_duplicates),
     ("mixing sources to target weights", mix_sources),
     ("BPE encoding", encode_bpe),
 ]
 
-#: Model scores, SimHash and BPE have no SQL; tests/llm/test_pipeline.py holds a plain version.
+#: Model scores, near-dedup and BPE have no SQL; tests/llm/test_pipeline.py holds a plain version.
 ORACLE_SQL = None
 
 
