@@ -10,6 +10,11 @@ hashed. Moving a passage changes the order and so the signature, which plain
 MinHash would not notice; the share of equal tuples estimates likeness under
 edit distance.
 
+That is the law "parts", which short texts and texts without white space fill
+badly. Under the law "whole" a tuple with fewer than ``ORDER`` selected k-mers
+takes those that are minimal under the tuple's own seed among all selected ones
+of the text, so order counts in texts of any length.
+
 Everything is DataFrame operations. Rows are dealt out by document once;
 occurrence numbers, minima and tuples all group by document and more, so
 nothing is dealt out again, and a document's k-mers spill rather than fill
@@ -48,12 +53,31 @@ def kmers(text: Column) -> Column:
         grams = F.transform(tokens, lambda t, i: F.xxhash64(t, *[F.get(tokens, i + j) for j in range(1, K)]))
         return F.slice(grams, 1, F.greatest(F.size(tokens) - (K - 1), F.lit(1)))
 
-    tokens = F.regexp_extract_all(text, F.lit(rf"([^\s]{{1,{PIECE}}})"), F.lit(1))
+    pattern = rf"([^\s]{{1,{PIECE}}})"
+    tokens = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
     # a lambda variable holds the tokens, so that they are found once
     return F.transform(F.array(tokens), hashed)[0]
 
 
-def signatures(texts: DataFrame, key: list[str], columns: list[str], facts: list[Column] | None = None) -> DataFrame:
+def _filled(least: DataFrame, key: list[str]) -> DataFrame:
+    """(key..., kind, tuple, h, last, n) of the selected k-mers of each text;
+    a tuple that lacks some takes others of the text by its own seed. Facts
+    (kind below 0) stay as they are."""
+    own = F.array_sort(F.collect_list(F.struct("part", "h", "pos")))
+    sets = least.groupBy(*key, "kind").agg(own.alias("all"))
+
+    def chosen(t):
+        pair = F.filter("all", lambda x: F.shiftright(x["part"], 1) == t)
+        seeded = F.slice(F.array_sort(F.transform("all", lambda x: F.struct(F.xxhash64(x["h"], t).alias("by"), x["h"].alias("h"), x["pos"].alias("pos")))), 1, ORDER)
+        plain = lambda a: F.transform(a, lambda x: F.struct(x["pos"].alias("pos"), x["h"].alias("h")))
+        return F.struct(t.cast("int").alias("tuple"), F.array_sort(F.when((F.size(pair) < ORDER) & (F.col("kind") >= 0), plain(seeded)).otherwise(plain(pair))).alias("picked"))
+
+    full = F.transform(F.sequence(F.lit(0), F.lit(TUPLES - 1)), chosen)
+    one = sets.select(*key, "kind", F.explode(full).alias("x")).select(*key, "kind", "x.tuple", "x.picked").filter(F.size("picked") > 0)
+    return one.select(*key, "kind", "tuple", F.get("picked", F.lit(0))["h"].alias("h"), F.element_at("picked", -1)["h"].alias("last"), F.size("picked").alias("n"))
+
+
+def signatures(texts: DataFrame, key: list[str], columns: list[str], facts: list[Column] | None = None, whole: bool = False) -> DataFrame:
     """(key..., sig_<column>, has_<column> for each of ``columns``, fact0,
     fact1, ...): a signature is a sorted array of (tuple, hash), has_ the bits
     of the tuples that are not empty. ``facts`` are longs to carry along.
@@ -71,7 +95,7 @@ def signatures(texts: DataFrame, key: list[str], columns: list[str], facts: list
     part = F.when(fact, F.col("pos") * 2).otherwise(F.pmod("h", F.lit(2 * TUPLES))).cast("int")
     least = hashed.groupBy(*key, "kind", part.alias("part")).agg(F.min("h").alias("h"), F.min_by("pos", "h").alias("pos"))
     # the two selected k-mers of each tuple, in text order
-    tuples = least.groupBy(*key, "kind", F.shiftright("part", 1).alias("tuple")).agg(
+    tuples = _filled(least, key) if whole else least.groupBy(*key, "kind", F.shiftright("part", 1).alias("tuple")).agg(
         F.min_by("h", "pos").alias("h"), F.max_by("h", "pos").alias("last"), F.count("*").alias("n")
     )
     made = F.xxhash64("tuple", "h", F.when(F.col("n") > 1, F.col("last")))
@@ -102,7 +126,7 @@ def _as_longs(hex_: Column) -> list[Column]:
     return [F.conv(F.substring(hex_, 1 + 16 * i, 16), 16, -10).cast("long") for i in range(4)]
 
 
-def fingerprint_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprint_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
     """Every document's fingerprint, that of its edited text (the last half of
     its code points replaced by as many of the next document's first), and how
     alike they and the next document's are."""
@@ -128,7 +152,7 @@ def fingerprint_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: st
     )
     kept = F.substring(F.col("text"), F.lit(1), (F.col("n") - half).cast("int"))
     pairs = own.join(given, ["d", "th"]).select("d", "th", "text", F.concat(kept, "start").alias("edited"))
-    signed = stage(signatures(pairs, ["d", "th"], ["text", "edited"], _as_longs(F.sha2("edited", 256))), "signatures")
+    signed = stage(signatures(pairs, ["d", "th"], ["text", "edited"], _as_longs(F.sha2("edited", 256)), whole), "signatures")
 
     following = signed.join(plan.select("d", "th", "for_d", "for_th"), ["d", "th"]).select(
         F.col("for_d").alias("d"), F.col("for_th").alias("th"), F.col("sig_text").alias("sig_next"), F.col("has_text").alias("has_next")

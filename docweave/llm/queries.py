@@ -70,7 +70,7 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM url
 
 
 def op6_ordermin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ordermin.fingerprint_with_edits(table(spark, sf_dir, "documents"))
+    return ordermin.fingerprint_with_edits(table(spark, sf_dir, "documents"), whole=True)
 
 
 def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

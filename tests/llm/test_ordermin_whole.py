@@ -1,0 +1,26 @@
+import pytest
+from pyspark.sql import functions as F
+
+from docweave.llm import ordermin, queries
+
+
+def mean_likeness(spark, pairs):
+    rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "id long, a string, b string")
+    signed = ordermin.signatures(rows, ["id"], ["a", "b"], whole=True)
+    return signed.agg(F.avg(ordermin.likeness("a", "b"))).first()[0]
+
+
+@pytest.mark.parametrize(("n", "most"), [(12, 0.6), (24, 0.6), (50, 0.6), (100, 0.6)])
+def test_order_of_short_texts(spark, n, most):
+    pairs = []
+    for k in range(40):
+        w = [f"t{k}w{i}" for i in range(n)]
+        pairs.append((" ".join(w), " ".join(w[n // 2 :] + w[: n // 2])))
+    found = mean_likeness(spark, pairs)
+    print(n, round(found, 3))
+    assert found < most
+
+
+def test_query(spark, sf):
+    found = queries.op6_ordermin(spark, sf)
+    assert found.filter("n_chars > 0 and length(fingerprint) = 32 * 18").count() > 150
