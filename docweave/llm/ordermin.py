@@ -13,7 +13,9 @@ edit distance.
 That is the law "parts", which short texts and texts without white space fill
 badly. Under the law "whole" a tuple with fewer than ``ORDER`` selected k-mers
 takes those that are minimal under the tuple's own seed among all selected ones
-of the text, so order counts in texts of any length.
+of the text, so order counts in texts of any length; and a run of over
+``PIECE`` characters gives the pieces at every position, so that an insertion
+changes only those around it.
 
 Everything is DataFrame operations. Rows are dealt out by document once;
 occurrence numbers, minima and tuples all group by document and more, so
@@ -46,14 +48,18 @@ CHARS_PER_DEAL = 4_000_000
 NO_ID = -(1 << 63)
 
 
-def kmers(text: Column) -> Column:
-    """Hashes of the k-mers of a text, in text order."""
+def kmers(text: Column, whole: bool = False) -> Column:
+    """Hashes of the k-mers of a text, in text order; with ``whole``, of long
+    runs the pieces at every position."""
 
     def hashed(tokens):
         grams = F.transform(tokens, lambda t, i: F.xxhash64(t, *[F.get(tokens, i + j) for j in range(1, K)]))
         return F.slice(grams, 1, F.greatest(F.size(tokens) - (K - 1), F.lit(1)))
 
     pattern = rf"([^\s]{{1,{PIECE}}})"
+    if whole:
+        # a piece, then one character on while a whole piece is left, else to the end of the run
+        pattern = rf"(?=((?<!\S)\S{{1,{PIECE}}}(?!\S)|\S{{{PIECE}}}))(?:\S(?=\S{{{PIECE}}})|\S{{1,{PIECE}}})"
     tokens = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
     # a lambda variable holds the tokens, so that they are found once
     return F.transform(F.array(tokens), hashed)[0]
@@ -84,7 +90,7 @@ def signatures(texts: DataFrame, key: list[str], columns: list[str], facts: list
     ``key`` identifies a row; if ``texts`` is dealt out by it, nothing is dealt
     out again."""
     facts = facts or [F.lit(0)]
-    kinds = [F.struct(F.lit(i).alias("kind"), kmers(F.col(c)).alias("grams")) for i, c in enumerate(columns)]
+    kinds = [F.struct(F.lit(i).alias("kind"), kmers(F.col(c), whole).alias("grams")) for i, c in enumerate(columns)]
     carried = F.struct(F.lit(-1).alias("kind"), F.array(*[f.cast("long") for f in facts]).alias("grams"))
     parts = texts.select(*key, F.explode(F.array(*kinds, carried)).alias("x")).select(*key, "x.kind", "x.grams")
     grams = parts.select(*key, "kind", F.posexplode("grams").alias("pos", "gram"))

@@ -21,6 +21,19 @@ def test_order_of_short_texts(spark, n, most):
     assert found < most
 
 
+def test_insertion_in_a_run_without_white_space(spark):
+    run = "".join(chr(0x4E00 + i * 7919 % 20000) for i in range(3000))
+    found = mean_likeness(spark, [(run, "x" + run), ("\U0001f600" * 2 + run, run)])
+    print("run", round(found, 3))
+    assert found > 0.9
+
+
+def test_pieces(spark):
+    text = "ab \U0001f600\U0001f601 abcdefghijkl abcdefghijklmn\n"
+    df = spark.createDataFrame([(text,)], "t string").select(F.size(ordermin.kmers(F.col("t"), True)).alias("n"))
+    assert df.first().n == 3 + 3 - 1  # three short tokens, three pieces
+
+
 def test_query(spark, sf):
     found = queries.op6_ordermin(spark, sf)
     assert found.filter("n_chars > 0 and length(fingerprint) = 32 * 18").count() > 150
