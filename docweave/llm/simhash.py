@@ -16,10 +16,16 @@ groups of copies cost no square of their size. A bucket above ``BUCKET`` rows
 is cut into chunks, and each pair of chunks becomes its own task. Components
 come from alternating large-star and small-star steps on the edges.
 
+The nodes of the search are the distinct fingerprints themselves, and a
+component's id is the smallest doc_id over all rows of its fingerprints. So
+nothing hangs on doc_id being unique, present or small.
+
 Defined results: null text counts as empty; a text without words has
-fingerprint zero; rows that repeat share fingerprint and component; a null id
-never is a component's id unless all of the component's ids are null (then
-the component id is null); an empty table gives an empty result.
+fingerprint zero; rows that repeat share fingerprint and component; rows that
+share an id but not their text belong to components of their own, which may
+then have one id; a null id never is a component's id unless all of the
+component's ids are null (then the component id is null); an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -42,31 +48,41 @@ MAX_BITS = 4
 BUCKET = 16_384
 #: Generator polynomial of the binary Golay code, x^11+x^9+x^7+x^6+x^5+x+1.
 GOLAY = 0b101011100011
-_NO_ID = 1 << 62
 
 _tables: tuple[np.ndarray, np.ndarray] | None = None
 
 
 # ---------------------------------------------------------------- fingerprints
-def fingerprint(text: str | None) -> int:
-    """64-bit SimHash over the 4-word shingles of a text."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+def split_words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def shingle_hashes(words: list[bytes], length: int, seed: int) -> np.ndarray:
+    """Hashes of the shingles of ``length`` words, repeats included."""
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
-    n = max(1, len(words) - SHINGLE + 1)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
+    last = ends[length - 1 :] if len(words) >= length else ends[-1:]
     digest = xxhash.xxh64_intdigest
-    last = ends[SHINGLE - 1 :] if len(words) >= SHINGLE else ends[-1:]
-    counts = np.zeros(64, np.int64)
     pairs = zip(starts.tolist(), last.tolist(), strict=False)
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in pairs), np.uint64, n)
-    for i in range(0, n, 65_536):
+    return np.fromiter((digest(joined[a:b], seed) for a, b in pairs), np.uint64, len(last))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64 bits, each set if it is in over half the hashes; of none, zero."""
+    counts = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), 65_536):
         part = hashes[i : i + 65_536]
         bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: str | None) -> int:
+    """64-bit SimHash over the 4-word shingles of a text."""
+    return majority(shingle_hashes(split_words(text), SHINGLE, SEED))
 
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,13 +90,13 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
         for part in slices(batch, "text"):
             values = [fingerprint(t) for t in part.column("text").to_pylist()]
             fp = pa.array(np.array(values, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), fp], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), fp], ["doc_id", "th", "fp"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) of every row."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(lean(_fingerprint_batches), "doc_id long, fp long")
+    """(doc_id, th, fp) of every row; th is a hash of the text."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(text_col).alias("th"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(lean(_fingerprint_batches), "doc_id long, th long, fp long")
 
 
 # ------------------------------------------------------------------------ keys
@@ -258,28 +274,53 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def classify(fps: DataFrame) -> DataFrame:
+    """(fp, component) of the distinct fingerprints of ``fps``; the component
+    is one of its fingerprints."""
+    nodes = stage(fps.select("fp").distinct(), "nodes")
+    roots = components(links(nodes.select("fp", F.col("fp").alias("rep"))))
+    return stage(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("component")), "classes")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) of every row of ``docs``."""
     fps = stage(fingerprints(docs, id_col, text_col), "fingerprints")
-    unknown = F.lit(_NO_ID) + F.col("fp").bitwiseAND(F.lit((1 << 61) - 1))
-    nodes = stage(
-        fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).select("fp", F.coalesce("rep", unknown).alias("rep")), "nodes"
-    )
-    roots = components(links(nodes))
-    classes = stage(
-        nodes.join(roots, nodes.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id")), "classes"
-    )
-    joined = fps.join(classes, "fp")
-    return joined.select("doc_id", "fp", F.when(F.col("component_id") < _NO_ID, F.col("component_id")).alias("component_id"))
+    classes = classify(fps)
+    least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    ids = classes.join(least, "fp").groupBy("component").agg(F.min("least").alias("component_id"))
+    named = stage(classes.join(ids, "component").select("fp", "component_id"), "named")
+    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def text_hash(text_col: str):
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def first_rows(rows: DataFrame, node: str, classes: DataFrame) -> DataFrame:
+    """Of rows(<node>, d, th) in classes(<node>, component): the (d, th) of each
+    component's first row, by id, null ids last, then by text hash; and how
+    many rows have both. Copies meet as one row of their node before the join."""
+    counted = rows.groupBy(node, "d", "th").agg(F.count("*").alias("copies"))
+    order = F.struct(F.col("d").isNull().alias("none"), "d", "th", "copies")
+    own = counted.groupBy(node).agg(F.min(order).alias("row"))
+    first = own.join(classes, node).groupBy("component").agg(F.min("row").alias("row"))
+    return first.select(F.col("row.d").alias("__d"), F.col("row.th").alias("__th"), F.col("row.copies").alias("copies"))
+
+
+def keep_rows(docs: DataFrame, stay: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that first_rows() names, each once."""
+    on = lambda s: F.col(id_col).cast("long").eqNullSafe(s["__d"]) & (F.col("__row") == s["__th"])
+    rows = docs.withColumn("__row", text_hash(text_col))
+    once, repeated = stay.filter("copies = 1"), stay.filter("copies > 1")
+    kept = rows.join(once, on(once), "left_semi")
+    if not repeated.isEmpty():
+        kept = kept.unionByName(rows.join(repeated, on(repeated), "left_semi").dropDuplicates([id_col, "__row"]))
+    return kept.select(*docs.columns)
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest id (of
-    rows that repeat the id, one); rows without an id stay."""
-    found = stage(near_duplicates(docs, id_col, text_col), "found")
-    ids = found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias(id_col)).count()
-    one = docs.join(ids.filter("count = 1"), id_col, "left_semi")
-    kept = one.unionByName(docs.filter(F.col(id_col).isNull()))
-    if not ids.filter("count > 1").isEmpty():
-        kept = kept.unionByName(docs.join(ids.filter("count > 1"), id_col, "left_semi").dropDuplicates([id_col]))
-    return kept.select(*docs.columns)
+    """``docs`` with the first row of each component: by id, null ids last,
+    then by a hash of the text. Of rows that repeat both, one stays."""
+    fps = stage(fingerprints(docs, id_col, text_col), "fingerprints")
+    stay = first_rows(fps.select("fp", F.col("doc_id").alias("d"), "th"), "fp", classify(fps))
+    return keep_rows(docs, stage(stay, "stay"), id_col, text_col)

@@ -1,10 +1,12 @@
 """Near duplicates by the similarity of their word shingles.
 
 Two texts are linked if the Jaccard similarity of their sets of ``SHINGLE``-word
-shingles is ``SIMILAR`` or more. Texts at 0.8 differ in about 10 of 64 bits of
-a SimHash, which no exact search over bits reaches, so candidates come from
-MinHash: ``BANDS`` bands of ``ROWS`` minima. A pair at similarity s shares no
-band with probability (1 - s^4)^20, 3e-5 at 0.8. Of texts that share a band
+shingles is ``SIMILAR`` or more. Candidates are the links of the SimHash search
+(simhash.py: exact up to 4 bits, by Golay-code keys) over fingerprints of those
+shingles. Texts at 0.8 differ in about 10 of 64 bits, which no exact search
+over bits reaches at a bearable number of keys, so MinHash completes the
+candidates: ``BANDS`` bands of ``ROWS`` minima. A pair at similarity s shares
+no band with probability (1 - s^4)^20, 3e-5 at 0.8. Of texts that share a band
 those are candidates whose minima agree in ``ROUGH`` or more of all places
 (4.5 standard deviations below 0.8). Every link is then verified on the whole
 sets of shingles, so no text goes that is not linked.
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweave.llm._common import lean, ragged, slices, stage
-from docweave.llm.simhash import components
+from docweave.llm.simhash import components, first_rows, keep_rows, links, majority, shingle_hashes, split_words, text_hash
 
 SHINGLE = 5
 #: SIMILAR as a fraction of whole numbers, for an exact comparison.
@@ -47,21 +49,9 @@ _FLIP = _random.integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64)
 _TIMES = _random.integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _split(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
-
-
 def shingles(words: list[bytes]) -> np.ndarray:
     """Sorted distinct hashes of the shingles."""
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    last = ends[SHINGLE - 1 :] if len(words) >= SHINGLE else ends[-1:]
-    digest = xxhash.xxh64_intdigest
-    pairs = zip(starts.tolist(), last.tolist(), strict=False)
-    return np.unique(np.fromiter((digest(joined[a:b]) for a, b in pairs), np.uint64, len(last)))
+    return np.unique(shingle_hashes(words, SHINGLE, 0))
 
 
 def minima(grams: np.ndarray) -> np.ndarray:
@@ -74,22 +64,23 @@ def minima(grams: np.ndarray) -> np.ndarray:
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
-            node, size, bands, minis = [], [], [], []
+            node, size, fp, bands, minis = [], [], [], [], []
             for text in part.column("text").to_pylist():
-                words = _split(text)
+                words = split_words(text)
                 grams = shingles(words)
                 least = minima(grams)
                 node.append(xxhash.xxh64_intdigest(b" ".join(words)))
                 size.append(len(grams))
+                fp.append(majority(grams))
                 rows = least.reshape(BANDS, ROWS)
                 bands.append([xxhash.xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(rows)] if words else [])
                 minis.append((least >> np.uint64(20)).astype(np.uint8).tobytes())
             longs = lambda v: pa.array(np.array(v, np.uint64).view(np.int64))
             offsets = np.cumsum([0, *map(len, bands)], dtype=np.int32)
             yield pa.RecordBatch.from_arrays(
-                [part.column("d"), part.column("th"), longs(node), pa.array(size, pa.int64()),
+                [part.column("d"), part.column("th"), longs(node), pa.array(size, pa.int64()), longs(fp),
                  pa.ListArray.from_arrays(pa.array(offsets), longs([x for b in bands for x in b])), pa.array(minis, pa.binary())],
-                ["d", "th", "node", "size", "bands", "minis"],
+                ["d", "th", "node", "size", "fp", "bands", "minis"],
             )
 
 
@@ -170,23 +161,28 @@ def _connect(column: str, edges_of):
 def _shingle_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text", 2 << 20):
-            sets = [shingles(_split(t)).tobytes() for t in part.column("text").to_pylist()]
+            sets = [shingles(split_words(t)).tobytes() for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("node"), part.column("root"), part.column("cuts"), pa.array(sets, pa.binary())], ["node", "root", "cuts", "grams"])
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("d"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), F.col(text_col).alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("d"), text_hash(text_col).alias("th"), F.col(text_col).alias("text"))
 
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(component, d, th, copies): of each component the id and text hash of
-    the row that stays, and how many rows have both."""
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(node, d, th) of every row, and (node, component) of every node; a
+    component is named by one of its nodes."""
     rows = _rows(docs, id_col, text_col)
-    sketches = stage(rows.mapInArrow(lean(_sketch_batches), "d long, th long, node long, size long, bands array<long>, minis binary"), "sketches")
+    sketches = stage(rows.mapInArrow(lean(_sketch_batches), "d long, th long, node long, size long, fp long, bands array<long>, minis binary"), "sketches")
     first = F.min(F.struct(F.col("d").isNull().alias("none"), "d", "th")).alias("row")
-    nodes = stage(sketches.groupBy("node").agg(first, F.max("size").alias("size"), F.max("bands").alias("bands"), F.max("minis").alias("minis")), "nodes")
+    nodes = stage(sketches.groupBy("node").agg(first, F.max("size").alias("size"), F.max("fp").alias("fp"), F.max("bands").alias("bands"), F.max("minis").alias("minis")), "nodes")
     banded = nodes.select(F.explode("bands").alias("bucket"), "node", "minis").repartition("bucket").sortWithinPartitions("bucket")
-    candidates = components(stage(banded.mapInArrow(_connect("minis", _rough), "a long, b long"), "rough").distinct())
+    rough = stage(banded.mapInArrow(_connect("minis", _rough), "a long, b long"), "rough")
+    # texts of one fingerprint hang on the least of them, which stands for it in the search over bits
+    prints = stage(nodes.groupBy("fp").agg(F.min("node").alias("rep")), "prints")
+    same = nodes.join(prints, "fp").filter("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    near = links(prints.select("fp", "rep"))
+    candidates = components(rough.unionByName(same).unionByName(near).distinct())
     found = candidates.select("node", "root").unionByName(candidates.select(F.col("root").alias("node"), "root").distinct())
     members = stage(nodes.select("node", "size", "row").join(found, "node").select("node", "root", "size", "row.d", "row.th"), "members")
 
@@ -210,20 +206,11 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     roots = components(stage(dealt.mapInArrow(_connect("grams", _exact), "a long, b long"), "links").distinct())
 
     component = F.coalesce("root", "node").alias("component")
-    of = nodes.select("node", "row").join(roots, "node", "left").select(component, "row")
-    winners = of.groupBy("component").agg(F.min("row").alias("row")).select("component", "row.d", "row.th")
-    copies = sketches.groupBy(F.col("d").alias("d2"), F.col("th").alias("th2")).agg(F.count("*").alias("copies"))
-    return winners.join(copies, F.col("d").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("th2"))).select("component", "d", "th", "copies")
+    of = stage(nodes.select("node").join(roots, "node", "left").select("node", component), "classes")
+    return sketches.select("node", "d", "th"), of
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component."""
-    stay = stage(similar(docs, id_col, text_col).select(F.col("d").alias("__d"), F.col("th").alias("__th"), "copies"), "stay")
-    th = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    on = lambda s: F.col(id_col).cast("long").eqNullSafe(s["__d"]) & (F.col("__row") == s["__th"])
-    rows = docs.withColumn("__row", th)
-    once, repeated = stay.filter("copies = 1"), stay.filter("copies > 1")
-    kept = rows.join(once, on(once), "left_semi")
-    if not repeated.isEmpty():
-        kept = kept.unionByName(rows.join(repeated, on(repeated), "left_semi").dropDuplicates([id_col, "__row"]))
-    return kept.select(*docs.columns)
+    """``docs`` with the first row of each component (see simhash.first_rows)."""
+    rows, classes = similar(docs, id_col, text_col)
+    return keep_rows(docs, stage(first_rows(rows, "node", classes), "stay"), id_col, text_col)

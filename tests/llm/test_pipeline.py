@@ -2,7 +2,7 @@ import collections
 
 import public_tokenizers
 from pyspark.sql import functions as F
-from test_simhash import brute, classes
+from test_similar import expected
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -16,8 +16,8 @@ def plain(spark, docs):
     draw of the mix have brute-force tests of their own."""
     scored = {(r.doc_id, r.text): r for r in langid.identify(docs, ["doc_id", "text"]).collect()}
     kept = [r for r in docs.collect() if scored[r.doc_id, r.text].lang_pred != "und" and scored[r.doc_id, r.text].score >= corpus_pipeline.MIN_SCORE]
-    component = classes([(r.doc_id, brute(r.text)) for r in kept])
-    kept = [r for r, c in zip(kept, component, strict=True) if c == r.doc_id]
+    stays = {d for none, d in expected([(r.doc_id, r.text) for r in kept])}
+    kept = [r for r in kept if r.doc_id in stays]
     drawn = mixing.draws(spark.createDataFrame(kept, docs.schema), mixing.words_in(F.col("text")), ["doc_id", "text"]).collect()
     return sorted(
         (r.doc_id, r.source, LIBRARY.encode(r.text, add_special_tokens=False).ids) for r in drawn for _ in r["__shards"]

@@ -18,8 +18,16 @@ def brute(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def classes(rows):
-    """component of each (id, fingerprint), by looking at all pairs."""
+def first_of(rows):
+    """(id is null, id) of the row that stays of each component."""
+    best = {}
+    for (d, _), r in zip(rows, grouped(rows), strict=True):
+        best[r] = min(best.get(r, (True, 1 << 63)), (d is None, d or 0))
+    return sorted(best.values())
+
+
+def grouped(rows):
+    """Of each (id, fingerprint) a number of its component, by looking at all pairs."""
     parent = list(range(len(rows)))
 
     def root(i):
@@ -31,11 +39,16 @@ def classes(rows):
         for j in range(i):
             if (rows[i][1] ^ rows[j][1]).bit_count() <= 4:
                 parent[root(i)] = root(j)
-    ids = {}
-    for i, (d, _) in enumerate(rows):
+    return [root(i) for i in range(len(rows))]
+
+
+def classes(rows):
+    """component_id of each (id, fingerprint)."""
+    own, ids = grouped(rows), {}
+    for (d, _), r in zip(rows, own, strict=True):
         if d is not None:
-            ids[root(i)] = min(d, ids.get(root(i), d))
-    return [ids.get(root(i)) for i in range(len(rows))]
+            ids[r] = min(d, ids.get(r, d))
+    return [ids.get(r) for r in own]
 
 
 def test_any_two_within_four_bits_share_a_key():
@@ -77,10 +90,26 @@ def test_odd_rows(spark):
     assert sorted(((r.doc_id, r.fp & (2**64 - 1), r.component_id) for r in got), key=key) == want
     kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, SCHEMA))
     assert kept.columns == ["doc_id", "text", "fp", "key"]
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted({c for _, _, c in want if c is not None})
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == first_of(pairs)
     assert simhash.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_ids_that_repeat_or_are_large(spark):
+    texts = {k: f"{k} tells of {k} and its {k} in many {k} words" for k in ("apple", "river", "stone", "cloud", "metal")}
+    top = (1 << 63) - 1
+    rows = [(5, "apple"), (5, "river"), (3, "river"), (9, "stone"), (top, "cloud"), (top - 1, "cloud"), (top, "metal"), (-(1 << 63), "stone"), (None, "apple"), (None, "metal")]
+    docs = spark.createDataFrame([(d, texts[k], "x", 1) for d, k in rows], SCHEMA)
+    pairs = [(d, brute(texts[k])) for d, k in rows]
+    assert len({f for _, f in pairs}) == 5 == len(set(grouped(pairs)))
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    want = sorted(((d, f, c) for (d, f), c in zip(pairs, classes(pairs), strict=True)), key=key)
+    got = simhash.near_duplicates(docs).collect()
+    assert sorted(((r.doc_id, r.fp & (2**64 - 1), r.component_id) for r in got), key=key) == want
+    kept = simhash.drop_near_duplicates(docs).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept) == first_of(pairs)
+    assert sorted(r.text for r in kept) == sorted(texts.values())
+
+
 def test_hot_bucket_and_long_chain(spark):
     rng = random.Random(5)
     base = rng.getrandbits(64)
