@@ -44,48 +44,56 @@ def number_rows(df: DataFrame, order: list[str], name: str = "row_number") -> tu
     for p, n in counts:
         offsets.append((p, total))
         total += n
-    if not offsets:
-        return placed.withColumn(name, F.lit(0).cast("long")).drop("__place"), 0
-    table = F.map_from_arrays(F.array(*[F.lit(p).cast("long") for p, _ in offsets]), F.array(*[F.lit(o).cast("long") for _, o in offsets]))
+    # one row per partition again, so small enough for every executor
+    table = df.sparkSession.createDataFrame(offsets, "__part long, __offset long")
     inside = F.col("__place").bitwiseAND(F.lit((1 << 33) - 1))
-    return placed.withColumn(name, F.element_at(table, part) + inside).drop("__place"), total
+    numbered = placed.withColumn("__part", part).join(F.broadcast(table), "__part")
+    return numbered.withColumn(name, F.col("__offset") + inside).select(*df.columns, name), total
 
 
-def _bits(n: int) -> int:
-    return max(2, (max(1, n) - 1).bit_length())
+def network(n: Column) -> dict[str, Column]:
+    """Of a Feistel network for 0..n-1 (n a long column, 1 at least): the bits
+    of its low half, and the masks of its halves."""
+    # bit length of n - 1; halves may differ by one
+    bits = F.greatest(F.lit(2), F.length(F.bin(F.greatest(n - 1, F.lit(0))))).cast("int")
+    low = F.floor(bits / 2).cast("int")
+    one = F.lit(1).cast("long")
+    mask = lambda b: F.call_function("shiftleft", one, b) - 1
+    return {"low": low, "low_mask": mask(low), "high_mask": mask(bits - low), "n": n}
 
 
 def _mix(half: Column, round_: Column, seed: int) -> Column:
     return F.xxhash64(half, round_, F.lit(seed).cast("long"))
 
 
-def _once(x: Column, bits: int, seed: int, inverse: bool) -> Column:
-    """One pass through the network on ``bits`` bits; halves may differ by one."""
-    low = bits // 2
-    high = bits - low
+def _once(x: Column, net: dict[str, Column], seed: int, inverse: bool) -> Column:
+    """One pass through the network."""
     # even rounds change the high half by the low one, odd rounds the low by the high
-    state = F.struct(F.shiftright(x, low).alias("h"), x.bitwiseAND(F.lit((1 << low) - 1)).alias("l"))
+    state = F.struct(F.call_function("shiftright", x, net["low"]).alias("h"), x.bitwiseAND(net["low_mask"]).alias("l"))
 
     def step(s, r):
         even = r % 2 == 0
-        h = s["h"].bitwiseXOR(_mix(s["l"], r, seed).bitwiseAND(F.lit((1 << high) - 1)))
-        l = s["l"].bitwiseXOR(_mix(s["h"], r, seed).bitwiseAND(F.lit((1 << low) - 1)))  # noqa: E741
+        h = s["h"].bitwiseXOR(_mix(s["l"], r, seed).bitwiseAND(net["high_mask"]))
+        l = s["l"].bitwiseXOR(_mix(s["h"], r, seed).bitwiseAND(net["low_mask"]))  # noqa: E741
         return F.struct(F.when(even, h).otherwise(s["h"]).alias("h"), F.when(even, s["l"]).otherwise(l).alias("l"))
 
     rounds = list(range(ROUNDS))[:: -1 if inverse else 1]
     order = F.array(*[F.lit(r).cast("long") for r in rounds])
-    return F.aggregate(order, state, step, lambda s: F.shiftleft(s["h"], low).bitwiseOR(s["l"]))
+    return F.aggregate(order, state, step, lambda s: F.call_function("shiftleft", s["h"], net["low"]).bitwiseOR(s["l"]))
 
 
-def permute(x: Column, n: int, seed: int = 0, inverse: bool = False) -> Column:
-    """A permutation of 0..n-1 that n and the seed determine."""
-    if n <= 1:
-        return x
-    bits = _bits(n)
+def permute_by(x: Column, net: dict[str, Column], seed: int = 0, inverse: bool = False) -> Column:
+    """A permutation of 0..n-1 that the network's n and the seed determine."""
+    n = net["n"]
     walked = F.aggregate(
-        F.sequence(F.lit(1), F.lit(WALK)), _once(x, bits, seed, inverse), lambda y, _: F.when(y < n, y).otherwise(_once(y, bits, seed, inverse))
+        F.sequence(F.lit(1), F.lit(WALK)), _once(x, net, seed, inverse), lambda y, _: F.when(y < n, y).otherwise(_once(y, net, seed, inverse))
     )
-    return F.when(walked < n, walked).otherwise(F.raise_error(F.lit("cycle walk did not end")).cast("long"))
+    return F.when(n <= 1, x).when(walked < n, walked).otherwise(F.raise_error(F.lit("cycle walk did not end")).cast("long"))
+
+
+def permute(x: Column, n: int, seed: int = 0, inverse: bool = False) -> Column:
+    """permute_by() for a number that is known when the plan is made."""
+    return permute_by(x, network(F.lit(n).cast("long")), seed, inverse)
 
 
 def place(number: Column, n: int, shards: int, seed: int = 0) -> tuple[Column, Column]:

@@ -1,4 +1,7 @@
+import struct
+
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from docweave.llm import sharding
@@ -14,6 +17,50 @@ def test_permutation_and_inverse(spark, n):
         assert sum(r.p == r.id for r in rows) < n / 4
 
 
+def permuted(x, n, seed=0):
+    """The permutation by plain integers."""
+    bits = max(2, (n - 1).bit_length())
+    low = bits // 2
+
+    def mixed(half, r):
+        h = 42
+        for v in (half, r, seed):
+            h = xxhash.xxh64_intdigest(struct.pack("<q", v), h)
+        return h
+
+    while True:
+        h, l = x >> low, x & ((1 << low) - 1)  # noqa: E741
+        for r in range(4):
+            if r % 2 == 0:
+                h ^= mixed(l, r) & ((1 << (bits - low)) - 1)
+            else:
+                l ^= mixed(h, r) & ((1 << low) - 1)  # noqa: E741
+        x = h << low | l
+        if x < n:
+            return x
+
+
+@pytest.mark.parametrize("n", [2, 3, 200, 1025])
+def test_against_plain_integers(spark, n):
+    sizes = spark.range(n).withColumn("n", F.lit(n).cast("long"))
+    rows = sizes.select("id", sharding.permute(F.col("id"), n, 7).alias("p"), sharding.permute_by(F.col("id"), sharding.network(F.col("n")), 7).alias("q")).collect()
+    assert all(r.p == r.q == permuted(r.id, n, 7) for r in rows)
+
+
+def test_query_against_plain_version(spark, sf):
+    """Rows of op3: ids ascending, numbered, permuted, dealt by modulo."""
+    import zlib
+
+    from docweave.llm import queries
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    want = {}
+    for i, r in enumerate(sorted(docs, key=lambda r: r.doc_id)):
+        data, at = (r.text or "").encode(), permuted(i, len(docs))
+        want[r.doc_id] = (len(data) + 1, zlib.crc32(data), "rows", at % 8, at // 8, None)
+    assert {r[0]: tuple(r)[1:] for r in queries.op3_sharding(spark, sf).collect()} == want
+
+
 def test_rows_law(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "n_chars")
     rows = sharding.assign(docs, ["doc_id"], 8).collect()
