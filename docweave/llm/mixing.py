@@ -1,56 +1,88 @@
 """Mixing sources to target weights with a multivariate-hypergeometric
 splitting tree.
 
-Each source's rows fall into blocks of about ``BLOCK_ROWS`` rows by a hash of
-their key; the blocks of a source stand in a hashed (permuted) order. A
-target is met by whole passes over the source and then by a prefix of the
-permuted order, cut at the row nearest to the target. The resulting numbers
-of block draws by source are the quotas; a binary tree over the output shards
-splits them exactly, each node drawing a multivariate-hypergeometric vector,
-so every shard gets its share of draws in near the global proportions. A shard
-owns a consecutive run of each source's draws, hence disjoint blocks, and its
-rows are put in a hashed order of their own.
-
-Only one row per source reaches the driver (at most ``MAX_SOURCES``). Blocks
-bound every window: rows inside a block, and blocks inside a source, which are
-``BLOCK_ROWS`` times fewer than its rows.
+1. Every row falls into one of its source's blocks of about ``BLOCK_ROWS`` rows
+   by a hash of its key, and a Feistel permutation puts the blocks of a source
+   in order.
+2. A target is met by whole passes over the source's blocks, then by a prefix of
+   the permuted order; its last block is cut at the row nearest to the target.
+   A draw is one block in one pass, and the number of a source's draws is its
+   quota.
+3. A binary tree over the output shards splits the quotas exactly: each node
+   draws a multivariate-hypergeometric vector for its left half and leaves the
+   rest to the right one. So shards hold as many draws each, by one at most,
+   in near the global proportions.
+4. The draws of a source are permuted once more and dealt to the shards in
+   consecutive runs as long as their quotas: draws of different shards are
+   disjoint. A row is taken once for each draw of its block, by the shard
+   that owns the draw, and ``mix`` deals rows out by shard and sorts each
+   shard by a hashed order of its own.
+
+Sources may be many: targets, quotas and offsets are aggregates and windows
+over a table with one row per source. The tree sees at most ``BUNDLES`` quotas.
+With more sources than that a bundle is several of them, whose draws are
+permuted together, which has the same law. Windows are bounded: superblocks of
+a source (2 million rows each), blocks of one superblock, rows of one block,
+sources of one bundle.
 
 Defined results: null text has size 0; a null source is a source, the last;
-sources without words have target 0; rows that repeat are drawn one by one;
-an empty table gives an empty mix. Reruns agree for any partitioning.
+sources without words have target 0; rows that repeat are numbered and drawn
+one by one, so they spread over blocks too; an empty table gives an empty mix.
+Reruns agree for any partitioning.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docweave.llm._common import bounded_collect
+from docweave.llm._common import stage
+from docweave.llm.sharding import network, number_rows, permute_by
 
 BLOCK_ROWS = 512
+#: Blocks of a superblock.
+SUPER = 4096
 MAX_REPEATS = 3
-MAX_SOURCES = 10_000
 WEIGHTS = (1, 2, 3)
 SHARDS = 8
-
-
-def targets(sizes: dict[str | None, int], weights: Sequence[int] = WEIGHTS, cap: int = MAX_REPEATS) -> dict[str | None, float]:
-    """Words to take by source: shares by weight of all words, none above
-    ``cap`` times its source's; the excess is shared again by weight."""
-    order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
-    total, capped = sum(sizes.values()), {}
+#: Quotas that the tree splits on the driver.
+BUNDLES = 4096
+#: Rows of the table of sources that is sent to every executor; a larger one is joined by shuffling.
+SMALL = 10_000
+#: Copies of a row that one task numbers.
+COPIES = 65_536
+#: Words of an output partition, about.
+PART_WORDS = 4_000_000
+_BIG = "decimal(38,0)"
+
+
+def target_table(sources: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = MAX_REPEATS) -> DataFrame:
+    """sources(s, size, ...) with sid, the place by code point from 0, null
+    last, and target: shares by weight of all words, none above ``cap`` times
+    its source's; the excess is shared again by weight. Each round is one
+    aggregate; the share of a weight of 1 only grows, so the last tells all."""
+    ranked, _ = number_rows(sources.withColumn("none", F.col("s").isNull()), ["none", "s"], "sid")
+    listed = ranked.drop("none").withColumn("weight", F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("sid") % len(weights) + 1).cast("int")))
+    rest, shares, closed = None, None, -1
     while True:
-        open_ = [s for s in order if s not in capped]
-        rest, shares = total - sum(capped.values()), sum(weight[s] for s in open_)
-        wanted = {s: rest * weight[s] / shares for s in open_}
-        over = [s for s in open_ if wanted[s] > cap * sizes[s]]
-        if not over:
-            return {s: float(capped[s]) if s in capped else wanted[s] for s in order}
-        capped |= {s: cap * sizes[s] for s in over}
+        over = F.lit(False)
+        if shares:
+            over = F.col("weight").cast(_BIG) * F.lit(Decimal(rest)) > F.col("size").cast(_BIG) * F.lit(Decimal(cap * shares))
+        one = lambda c: F.sum(c.cast(_BIG))
+        total, taken, left, n = listed.agg(
+            one(F.col("size")), one(F.when(over, F.col("size") * cap).otherwise(0)), one(F.when(over, 0).otherwise(F.col("weight"))), F.count_if(over)
+        ).first()
+        if n == closed or total is None or not left:
+            break
+        rest, shares, closed = int(total - taken), int(left), n
+    if not shares:
+        return listed.withColumn("target", F.lit(0.0))
+    wanted = (F.col("weight").cast(_BIG) * F.lit(Decimal(rest))).cast("double") / F.lit(float(shares))
+    return listed.withColumn("target", F.when(over, (F.col("size") * cap).cast("double")).otherwise(wanted))
 
 
 def split(quotas: Sequence[int], shards: int, seed: int = 0) -> list[list[int]]:
@@ -69,6 +101,18 @@ def split(quotas: Sequence[int], shards: int, seed: int = 0) -> list[list[int]]:
     return [list(map(int, c)) for c in down(np.array(quotas, np.int64), shards)]
 
 
+def numbered_copies(rows: DataFrame) -> DataFrame:
+    """``rows`` with __copy, the number from 0 among rows that are equal."""
+    counted = rows.groupBy(*rows.columns).agg(F.count("*").alias("__n"))
+    few = counted.filter(F.col("__n") <= COPIES).withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)))
+    # of a row with very many copies, runs of copies are dealt out first
+    cuts = F.sequence(F.lit(0).cast("long"), F.call_function("div", F.col("__n") - 1, F.lit(COPIES)))
+    runs = counted.filter(F.col("__n") > COPIES).withColumn("__run", F.explode(cuts)).repartition("__run", *rows.columns)
+    first = F.col("__run") * COPIES
+    many = runs.withColumn("__copy", F.explode(F.sequence(first, F.least(first + COPIES, F.col("__n")) - 1)))
+    return few.unionByName(many.drop("__run")).drop("__n")
+
+
 def draws(
     rows: DataFrame,
     size: Column,
@@ -80,56 +124,75 @@ def draws(
     seed: int = 0,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """``rows`` with __size, __source_size, __target and __shards: the output
-    shard of each time that the mix takes the row (empty: not taken)."""
-    spark = rows.sparkSession
-    sized = rows.withColumn("__size", size.cast("long")).withColumn("__hash", F.xxhash64(*key, F.lit(seed).cast("long")))
-    source = F.col(source_col)
-    stats = bounded_collect(
-        sized.groupBy(source.alias("s")).agg(F.sum("__size").alias("size"), F.count("*").alias("n")), MAX_SOURCES, "sources"
-    )
-    sizes = {r["s"]: r["size"] for r in stats}
-    wanted = targets(sizes, weights, cap) if sizes else {}
-    order = list(wanted)
-    counts = {r["s"]: r["n"] for r in stats}
-    plan = []
-    for sid, s in enumerate(order):
-        passes = min(cap, int(wanted[s] // sizes[s])) if sizes[s] else 0
-        rest = wanted[s] - passes * sizes[s] if passes < cap else 0.0
-        plan.append((s, sid, sizes[s], wanted[s], passes, rest, max(1, -(-counts[s] // block_rows))))
-    schema = "s string, sid int, __source_size long, __target double, passes int, rest double, blocks int"
-    # one row per source, at most MAX_SOURCES
-    by_source = F.broadcast(spark.createDataFrame(plan, schema))
-    dealt = (
-        sized.join(by_source, source.eqNullSafe(by_source["s"])).withColumn("block", F.pmod("__hash", F.col("blocks")).cast("int"))
-    )
-
-    # blocks in permuted order, with the words before each
-    every = Window.partitionBy("sid").orderBy(F.xxhash64("s", "block", F.lit(seed)), "block")
-    blocks = (
-        dealt.groupBy("sid", "s", "block").agg(F.sum("__size").alias("words"), F.first("rest").alias("rest"))
-        .withColumn("at", F.row_number().over(every) - 1)
-        .withColumn("before", F.coalesce(F.sum("words").over(every.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    )
-    touched = {r["sid"]: r["n"] for r in bounded_collect(
-        blocks.filter("before < rest").groupBy("sid").agg(F.count("*").alias("n")), MAX_SOURCES, "sources")}
-    quotas = split([p[4] * p[6] + touched.get(p[1], 0) for p in plan], shards, seed)
-    upto = np.cumsum(np.array(quotas, np.int64).reshape(shards, -1), axis=0)
-    bounds = F.broadcast(
-        spark.createDataFrame([(p[1], [int(x) for x in upto[:, i]]) for i, p in enumerate(plan)], "sid int, bounds array<long>")
-    )
-
-    # rows inside a block, with the words before each
-    inside = Window.partitionBy("sid", "block").orderBy("__hash", *[F.col(k) for k in key])
-    placed = dealt.withColumn("within", F.sum("__size").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__size"))
-    # the windows and this join deal rows out alike: rows move once
-    found = placed.join(blocks.select("sid", "block", "at", "before"), ["sid", "block"]).join(bounds, "sid")
-    extra = (2 * (F.col("before") + F.col("within")) + F.col("__size") <= 2 * F.col("rest")) & (F.col("__size") > 0)
-    times = F.col("passes") + F.when(extra, 1).otherwise(0)
-    shard = lambda p: F.size(F.filter("bounds", lambda b: b <= p * F.col("blocks") + F.col("at")))
-    passes = F.when(times > 0, F.sequence(F.lit(0), times - 1)).otherwise(F.array().cast("array<int>"))
-    out = found.withColumn("__shards", F.transform(passes, lambda p: F.least(shard(p), F.lit(shards - 1))))
-    return out.select(*rows.columns, "__size", "__source_size", "__target", "__shards")
+    """``rows`` with __copy, __size, __source_size, __target and __shards: the
+    output shard of each time that the mix takes the row (empty: not taken).
+    Pass narrow rows, which ``key`` tells apart but for copies; mix() joins
+    the wide ones."""
+    spark, columns = rows.sparkSession, rows.columns
+    # names of their own, as the caller's may be any
+    own = {c: f"__c{i}" for i, c in enumerate(columns)}
+    rows = rows.withColumn("__size", size.cast("long")).select(*[F.col(c).alias(n) for c, n in own.items()], "__size")
+    key, source_col = [own[k] for k in key], own[source_col]
+    hashed = F.xxhash64(*key, "__copy", F.lit(seed).cast("long"))
+    sized = stage(numbered_copies(rows).withColumn("__hash", hashed), "sized")
+    sources = sized.groupBy(F.col(source_col).alias("s")).agg(F.sum("__size").alias("size"), F.count("*").alias("n"))
+    passes = F.when(F.col("size") > 0, F.least(F.lit(cap), F.floor(F.col("target") / F.col("size")))).otherwise(0).cast("long")
+    rest = F.when((F.col("passes") < cap) & (F.col("size") > 0), F.col("target") - F.col("passes") * F.col("size")).otherwise(F.lit(0.0))
+    listed = target_table(sources, weights, cap).withColumn("passes", passes).withColumn("rest", rest)
+    plan = stage(listed.withColumn("blocks", F.ceil(F.col("n") / block_rows).cast("long")).drop("n", "weight"), "sources")
+    number = plan.count()
+    hint = F.broadcast if number <= SMALL else lambda df: df
+
+    same = F.col(source_col).eqNullSafe(F.col("__plan.s"))
+    dealt = sized.join(hint(plan.select("s", "sid", "blocks").alias("__plan")), same).drop("s")
+    at = permute_by(F.pmod("__hash", F.col("blocks")), network(F.col("blocks")), seed)
+    dealt = stage(dealt.withColumn("__at", at).withColumnRenamed("sid", "__sid").drop("blocks"), "dealt")
+
+    # where the permuted order passes the rest: in which superblock, in which block
+    sup = F.call_function("div", F.col("__at"), F.lit(SUPER))
+    partial = plan.filter("rest > 0").select(F.col("sid").alias("__sid"), "rest")
+
+    def passed(groups: DataFrame, order: str) -> DataFrame:
+        """Of groups(__sid, <order>, words, base): the last that begins before the rest."""
+        ahead = Window.partitionBy("__sid").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        begins = groups.withColumn("begin", F.col("base") + F.coalesce(F.sum("words").over(ahead), F.lit(0)))
+        found = begins.join(hint(partial), "__sid").filter("begin < rest")
+        return found.groupBy("__sid").agg(F.max_by(F.struct(order, "begin"), order).alias("x")).select("__sid", f"x.{order}", "x.begin")
+
+    words = F.sum("__size").alias("words")
+    supers = dealt.groupBy("__sid", sup.alias("sup")).agg(words).withColumn("base", F.lit(0).cast("long"))
+    last = passed(supers, "sup")
+    inside = dealt.withColumn("sup", sup).join(hint(last), ["__sid", "sup"])
+    blocks = inside.groupBy("__sid", "__at", F.col("begin").alias("base")).agg(words)
+    cuts = passed(blocks, "__at").withColumnRenamed("__at", "cut")
+
+    # quotas, the tree, and which run of its bundle's draws a shard owns
+    quota = F.col("passes") * F.col("blocks") + F.coalesce(F.col("cut") + 1, F.lit(0))
+    planned = plan.join(cuts.withColumnRenamed("__sid", "sid"), "sid", "left").withColumn("quota", quota).withColumn("bundle", F.col("sid") % BUNDLES)
+    ahead = Window.partitionBy("bundle").orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)
+    planned = planned.withColumn("first", F.coalesce(F.sum("quota").over(ahead), F.lit(0))).withColumn("total", F.sum("quota").over(Window.partitionBy("bundle")))
+    planned = stage(planned, "planned")
+    bundles = sorted((r["bundle"], r["total"]) for r in planned.select("bundle", "total").distinct().collect())  # at most BUNDLES
+    upto = np.cumsum(np.array(split([t for _, t in bundles], shards, seed), np.int64).reshape(shards, -1), axis=0)
+    bounds = spark.createDataFrame([(b, [int(x) for x in upto[:, i]]) for i, (b, _) in enumerate(bundles)], "bundle long, bounds array<long>")
+    planned = planned.join(F.broadcast(bounds), "bundle").withColumnRenamed("size", "__source_size").withColumnRenamed("target", "__target")
+
+    found = dealt.join(hint(planned.withColumnRenamed("sid", "__sid").drop("s", "bundle", "quota")), "__sid")
+    cutting = F.coalesce(F.col("__at") == F.col("cut"), F.lit(False))
+    before = F.sum("__size").over(Window.partitionBy("__sid").orderBy("__hash", *key, "__copy").rowsBetween(Window.unboundedPreceding, -1))
+    most = F.col("begin") + F.coalesce(before, F.lit(0))
+    whole = found.filter(~cutting).withColumn("extra", F.coalesce(F.col("__at") < F.col("cut"), F.lit(False)))
+    cut = found.filter(cutting).withColumn("extra", 2 * most + F.col("__size") <= 2 * F.col("rest"))
+    both = whole.unionByName(cut)
+    times = F.col("passes") + F.when(F.col("extra") & (F.col("__size") > 0), 1).otherwise(0)
+    turns = F.when(times > 0, F.sequence(F.lit(0).cast("long"), times - 1)).otherwise(F.array().cast("array<long>"))
+
+    def shard(turn: Column) -> Column:
+        place = permute_by(F.col("first") + turn * F.col("blocks") + F.col("__at"), network(F.col("total")), seed + 1)
+        return F.size(F.filter("bounds", lambda b: b <= place))
+
+    out = both.withColumn("__shards", F.transform(turns, shard))
+    return out.select(*[F.col(n).alias(c) for c, n in own.items()], "__copy", "__size", "__source_size", "__target", "__shards")
 
 
 def words_in(text: Column) -> Column:
@@ -137,9 +200,22 @@ def words_in(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def mix(rows: DataFrame, size: Column, key: list[str], seed: int = 0, **options) -> DataFrame:
-    """The mix itself: rows as often as taken, with __shard and, inside the
-    shard, the order to read them in."""
-    drawn = draws(rows, size, key, seed=seed, **options)
-    taken = drawn.select(*rows.columns, F.posexplode("__shards").alias("__pass", "__shard"))
-    return taken.withColumn("__order", F.xxhash64(*key, "__pass", F.lit(seed + 1).cast("long")))
+def mix(rows: DataFrame, size: Column, seed: int = 0, source_col: str = "source", shards: int = SHARDS, **options) -> DataFrame:
+    """The mix itself: rows as often as taken, dealt out by __shard and in each
+    shard sorted by __order. A shard is one or more whole partitions, in order."""
+    cells = [F.col(c) for c in rows.columns] + [F.col(c).isNull() for c in rows.columns]
+    key = ["__row1", "__row2"]
+    keyed = rows.withColumns({"__row1": F.xxhash64(*cells), "__row2": F.xxhash64(F.lit(1), *cells)})
+    narrow = stage(keyed.select(*key, F.col(source_col), size.cast("long").alias("__words")), "narrow")
+    drawn = stage(draws(narrow, F.col("__words"), key, source_col, seed=seed, shards=shards, **options).filter(F.size("__shards") > 0), "drawn")
+    copies, words = drawn.agg(F.max("__copy"), F.sum(F.col("__size") * F.size("__shards"))).first()
+    order = F.xxhash64(*key, "__copy", "__pass", F.lit(seed + 1).cast("long"))
+    taken = drawn.select(*key, "__copy", F.posexplode("__shards").alias("__pass", "__shard")).select(*key, "__shard", order.alias("__order"))
+    texts = keyed.dropDuplicates(key) if copies else keyed  # rows that repeat meet their draws once
+    # a shard is cut into equal parts of the range of its order
+    parts = max(1, -(-int(words or 0) // (shards * PART_WORDS)))
+    part = F.floor((F.col("__order").cast("double") / 2.0**64 + 0.5) * parts)
+    place = F.col("__shard") * parts + F.least(part, F.lit(parts - 1))
+    joined = texts.join(taken, key).withColumn("__place", place.cast("int"))
+    dealt = joined.repartitionById(shards * parts, "__place").sortWithinPartitions("__shard", "__order")
+    return dealt.select(*rows.columns, "__shard", "__order")

@@ -43,6 +43,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("__source_size").alias("source_size"),
         F.col("__target").alias("target"),
         (F.size("__shards") * F.col("size")).cast("long").alias("taken"),
+        F.array_join(F.col("__shards").cast("array<string>"), ",").alias("shards"),
     )
 
 
