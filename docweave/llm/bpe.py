@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +40,8 @@ REMEMBER = 300_000
 #: Fragments that go to the library in one call.
 CHUNK = 400
 SLICE = 2 << 20
+#: Ids that are decoded at a time.
+IDS = 1 << 18
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -218,8 +221,13 @@ def _decode(path: str, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
-            texts = [c.decode(ids or ()).decode("utf-8", "replace") for ids in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], pa.array(texts, pa.string())], [*keep, "text"])
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column("ids")), 0).to_numpy(zero_copy_only=False))
+            # about IDS ids at a time; a single longer text stays whole
+            cuts = np.flatnonzero(np.diff(ends // IDS, prepend=0)).tolist()
+            for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                part = batch.slice(a, b - a)
+                texts = [c.decode(ids or ()).decode("utf-8", "replace") for ids in part.column("ids").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keep], pa.array(texts, pa.string())], [*keep, "text"])
 
     return lean(run)
 

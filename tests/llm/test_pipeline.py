@@ -1,4 +1,5 @@
 import collections
+import hashlib
 
 import public_tokenizers
 from pyspark.sql import functions as F
@@ -13,21 +14,22 @@ LIBRARY = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 def plain(spark, docs):
     """Rows of run() by plain loops over collected rows; the classifier and the
-    draw of the mix have brute-force tests of their own."""
+    mix have brute-force tests of their own."""
     scored = {(r.doc_id, r.text): r for r in langid.identify(docs, ["doc_id", "text"]).collect()}
     kept = [r for r in docs.collect() if scored[r.doc_id, r.text].lang_pred != "und" and scored[r.doc_id, r.text].score >= corpus_pipeline.MIN_SCORE]
     stays = {d for none, d in expected([(r.doc_id, r.text) for r in kept])}
     kept = [r for r in kept if r.doc_id in stays]
-    drawn = mixing.draws(spark.createDataFrame(kept, docs.schema), mixing.words_in(F.col("text")), ["doc_id", "text"]).collect()
-    return sorted(
-        (r.doc_id, r.source, LIBRARY.encode(r.text, add_special_tokens=False).ids) for r in drawn for _ in r["__shards"]
-    )
+    mixed = mixing.mix(spark.createDataFrame(kept, docs.schema), mixing.words_in(F.col("text"))).collect()
+    return [(r.doc_id, r.source, LIBRARY.encode(r.text, add_special_tokens=False).ids, r.text) for r in mixed]
 
 
 def test_run_against_plain_version(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = corpus_pipeline.run(spark, sf).collect()
-    assert sorted((r.doc_id, r.source, r.ids) for r in got) == plain(spark, docs)
+    want = plain(spark, docs)
+    assert sorted((r.doc_id, r.source, r.ids) for r in got) == sorted(w[:3] for w in want)
+    digest = {w[0]: hashlib.sha256(w[3].encode()).hexdigest() for w in want}
+    assert all(r.decoded_sha256 == digest[r.doc_id] for r in got)
     assert all(r.n_tokens == len(r.ids) for r in got)
     assert max(collections.Counter(r.doc_id for r in got).values()) <= 3
 
