@@ -9,10 +9,11 @@ table in the shared folder and reads it back for the next.
    ``MIN_SCORE``.
 2. near duplicates, by a similarity of 0.8 or more between their sets of
    five-word shingles: of each group the document with the smallest doc_id
-   stays.
+   stays. Candidates are SimHash links (operator 1) completed by MinHash bands,
+   see docweave/llm/similar.py; every link is verified on the whole sets.
 3. mixing: sources are taken to their target weights, so a document stays 0 to
-   3 times.
-4. BPE: ids of every row's whole text.
+   3 times; rows leave in the order of the output shards, each shard shuffled.
+4. BPE: ids of every row's whole text, and a digest of what they decode to.
 """
 
 from __future__ import annotations
@@ -38,18 +39,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(docs, mixing.words_in(F.col("text")), ["doc_id", "text"])
-    return mixed.select(*docs.columns)
+    return mixing.mix(docs, mixing.words_in(F.col("text"))).select(*docs.columns)
 
 
 def encode_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
-    return bpe.encode(docs, path, ["doc_id", "source"]).withColumn("n_tokens", F.size("ids").cast("long"))
+    encoded = bpe.encode(docs, path, ["doc_id", "source"])
+    both = bpe.decode(encoded, path, ["doc_id", "source", "ids"])
+    return both.select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.encode("text", "utf-8"), 256).alias("decoded_sha256"))
 
 
 STAGES = [
     ("language ID", identify_language),
-    ("near-dedup", drop_near_duplicates),
+    ("SimHash near-dedup", drop_near_duplicates),
     ("mixing sources to target weights", mix_sources),
     ("BPE encoding", encode_bpe),
 ]
