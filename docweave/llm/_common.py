@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes that a Python step handles at a time.
 SLICE_BYTES = 8 << 20
+#: Rows of a few numbers that may be sent to every executor: about 20 MB.
+SENT_ROWS = 400_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -104,6 +106,13 @@ def bounded_collect(df: DataFrame, limit: int, what: str) -> list:
     return rows
 
 
+def sent_if_few(df: DataFrame, most: int = SENT_ROWS) -> DataFrame:
+    """A written table of narrow rows, marked to be sent to every executor if
+    it has at most ``most`` rows, so that what it is joined with stays where it
+    is. A larger one is joined by shuffling."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def words(column):
     """Runs of characters other than ASCII white space."""
     return F.regexp_extract_all(column, F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm._common import lean, slices, stage
+from docweave.llm._common import lean, sent_if_few, slices, stage
 
 SHINGLE = 4
 SEED = 42
@@ -296,31 +296,33 @@ def text_hash(text_col: str):
     return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
-def first_rows(rows: DataFrame, node: str, classes: DataFrame) -> DataFrame:
-    """Of rows(<node>, d, th) in classes(<node>, component): the (d, th) of each
-    component's first row, by id, null ids last, then by text hash; and how
-    many rows have both. Copies meet as one row of their node before the join."""
-    counted = rows.groupBy(node, "d", "th").agg(F.count("*").alias("copies"))
-    order = F.struct(F.col("d").isNull().alias("none"), "d", "th", "copies")
-    own = counted.groupBy(node).agg(F.min(order).alias("row"))
-    first = own.join(classes, node).groupBy("component").agg(F.min("row").alias("row"))
-    return first.select(F.col("row.d").alias("__d"), F.col("row.th").alias("__th"), F.col("row.copies").alias("copies"))
-
+def keep_first(docs: DataFrame, rows: DataFrame, classes: DataFrame, node: str, id_col: str, text_col: str) -> DataFrame:
+    """Of ``docs``, with rows(<node>, d, th) for their ids and text hashes and
+    classes(<node>, component): each component's first row, by id, null ids
+    last, then by text hash. Of rows that repeat both, one stays."""
+    counted = rows.groupBy(node, "d", "th").agg(F.count("*").alias("copies")).join(classes, node)
+    place = F.struct(F.col("d").isNull().alias("none"), "d", "th")
+    counted = stage(counted.select("component", place.alias("place"), "copies"), "counted")
+    first = counted.groupBy("component").agg(F.min("place").alias("place")).withColumn("first", F.lit(True))
+    judged = stage(counted.join(first, ["component", "place"], "left").select("place.*", "copies", "first"), "judged")
+
+    def met(s: DataFrame, how: str) -> DataFrame:
+        s = s.select(F.col("d").alias("__d"), F.col("th").alias("__th"))
+        return docs.withColumn("__row", text_hash(text_col)).join(
+            sent_if_few(s), F.col(id_col).cast("long").eqNullSafe(F.col("__d")) & (F.col("__row") == F.col("__th")), how
+        )
 
-def keep_rows(docs: DataFrame, stay: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of ``docs`` that first_rows() names, each once."""
-    on = lambda s: F.col(id_col).cast("long").eqNullSafe(s["__d"]) & (F.col("__row") == s["__th"])
-    rows = docs.withColumn("__row", text_hash(text_col))
-    once, repeated = stay.filter("copies = 1"), stay.filter("copies > 1")
-    kept = rows.join(once, on(once), "left_semi")
-    if not repeated.isEmpty():
-        kept = kept.unionByName(rows.join(repeated, on(repeated), "left_semi").dropDuplicates([id_col, "__row"]))
-    return kept.select(*docs.columns)
+    # what goes is mostly less than what stays
+    goes, repeated = judged.filter("first is null"), judged.filter("first and copies > 1")
+    if repeated.isEmpty():
+        return met(goes, "left_anti").select(*docs.columns)
+    once = met(goes.unionByName(repeated), "left_anti")
+    return once.unionByName(met(repeated, "left_semi").dropDuplicates([id_col, "__row"])).select(*docs.columns)
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the first row of each component: by id, null ids last,
     then by a hash of the text. Of rows that repeat both, one stays."""
     fps = stage(fingerprints(docs, id_col, text_col), "fingerprints")
-    stay = first_rows(fps.select("fp", F.col("doc_id").alias("d"), "th"), "fp", classify(fps))
-    return keep_rows(docs, stage(stay, "stay"), id_col, text_col)
+    rows = fps.select("fp", F.col("doc_id").alias("d"), "th")
+    return keep_first(docs, rows, classify(fps), "fp", id_col, text_col)

@@ -7,8 +7,9 @@ shingles. Texts at 0.8 differ in about 10 of 64 bits, which no exact search
 over bits reaches at a bearable number of keys, so MinHash completes the
 candidates: ``BANDS`` bands of ``ROWS`` minima. A pair at similarity s shares
 no band with probability (1 - s^4)^20, 3e-5 at 0.8. Of texts that share a band
-those are candidates whose minima agree in ``ROUGH`` or more of all places
-(4.5 standard deviations below 0.8). Every link is then verified on the whole
+those are candidates whose minima, two bits kept of each, agree in ``ROUGH``
+or more of all places (4.5 standard deviations below 0.85, which is what 0.8
+comes to with two bits). Every link is then verified on the whole
 sets of shingles, so no text goes that is not linked.
 
 Texts of the same words are one node. A candidate component is dealt out once,
@@ -32,14 +33,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm._common import lean, ragged, slices, stage
-from docweave.llm.simhash import components, first_rows, keep_rows, links, majority, shingle_hashes, split_words, text_hash
+from docweave.llm._common import lean, ragged, sent_if_few, slices, stage
+from docweave.llm.simhash import components, keep_first, links, majority, shingle_hashes, split_words, text_hash
 
 SHINGLE = 5
 #: SIMILAR as a fraction of whole numbers, for an exact comparison.
 SIMILAR = (4, 5)
 BANDS, ROWS = 20, 4
-ROUGH = 0.6
+ROUGH = 54
 #: Rows of a band's bucket that are compared; a larger bucket is one candidate group.
 BUCKET = 4096
 #: Shingles of a chunk of a candidate component: the first few chunks, all others.
@@ -61,6 +62,18 @@ def minima(grams: np.ndarray) -> np.ndarray:
     return least
 
 
+def packed(least: np.ndarray) -> bytes:
+    """Two bits of each minimum, four to a byte."""
+    pairs = (least >> np.uint64(20)).astype(np.uint8).reshape(-1, 4) & 3
+    return (pairs << np.arange(0, 8, 2, dtype=np.uint8)).sum(axis=1, dtype=np.uint8).tobytes()
+
+
+def agreeing(m: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """In how many places the rows of m agree with one."""
+    other = m ^ one
+    return BANDS * ROWS - np.bitwise_count((other | other >> 1) & 0x55).sum(axis=1, dtype=np.int64)
+
+
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
@@ -74,7 +87,7 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 fp.append(majority(grams))
                 rows = least.reshape(BANDS, ROWS)
                 bands.append([xxhash.xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(rows)] if words else [])
-                minis.append((least >> np.uint64(20)).astype(np.uint8).tobytes())
+                minis.append(packed(least))
             longs = lambda v: pa.array(np.array(v, np.uint64).view(np.int64))
             offsets = np.cumsum([0, *map(len, bands)], dtype=np.int32)
             yield pa.RecordBatch.from_arrays(
@@ -103,7 +116,7 @@ def _rough(nodes: list[int], minis: list[bytes]) -> list[tuple[int, int]]:
     if len(nodes) > BUCKET:
         return [(nodes[0], x) for x in nodes[1:]]
     m = np.frombuffer(b"".join(minis), np.uint8).reshape(len(nodes), -1)
-    return [(nodes[i], nodes[j]) for i, j in _forest(len(nodes), lambda i, those: (m[those] == m[i]).mean(axis=1) >= ROUGH)]
+    return [(nodes[i], nodes[j]) for i, j in _forest(len(nodes), lambda i, those: agreeing(m[those], m[i]) >= ROUGH)]
 
 
 def _exact(nodes: list[int], sets: list[bytes]) -> list[tuple[int, int]]:
@@ -192,7 +205,8 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     plan = members.join(total.select("root", F.greatest(cuts, F.lit(1)).cast("int").alias("cuts")), "root")
     same = lambda x: F.coalesce(x, F.lit(0))
     texts = rows.withColumns({"none": F.col("d").isNull(), "d": same(F.col("d"))})
-    wanted = plan.select("node", "root", "cuts", "th", F.col("d").isNull().alias("none"), same(F.col("d")).alias("d"))
+    wanted = stage(plan.select("node", "root", "cuts", "th", F.col("d").isNull().alias("none"), same(F.col("d")).alias("d")), "wanted")
+    wanted = sent_if_few(wanted)
     texts = texts.join(wanted, ["none", "d", "th"]).select("node", "root", "cuts", "text")
     # rows that repeat id and text meet as the same node, which links nothing new
     sets = stage(texts.mapInArrow(lean(_shingle_batches), "node long, root long, cuts int, grams binary"), "shingles")
@@ -211,6 +225,5 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the first row of each component (see simhash.first_rows)."""
-    rows, classes = similar(docs, id_col, text_col)
-    return keep_rows(docs, stage(first_rows(rows, "node", classes), "stay"), id_col, text_col)
+    """``docs`` with the first row of each component (see simhash.keep_first)."""
+    return keep_first(docs, *similar(docs, id_col, text_col), "node", id_col, text_col)
