@@ -34,13 +34,14 @@ Reruns agree for any partitioning.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from decimal import Decimal
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docweave.llm._common import stage
+from docweave.llm._common import sent_if_few, stage
 from docweave.llm.sharding import network, number_rows, permute_by
 
 BLOCK_ROWS = 512
@@ -56,7 +57,7 @@ SMALL = 10_000
 #: Copies of a row that one task numbers.
 COPIES = 65_536
 #: Words of an output partition, about.
-PART_WORDS = 4_000_000
+PART_WORDS = 1_000_000
 _BIG = "decimal(38,0)"
 
 
@@ -113,9 +114,50 @@ def numbered_copies(rows: DataFrame) -> DataFrame:
     return few.unionByName(many.drop("__run")).drop("__n")
 
 
-def draws(
+@dataclass
+class Plan:
+    """Rows by source that say which rows are drawn, how often and for whom."""
+
+    sized: DataFrame
+    sources: DataFrame
+    source_col: str
+    key: list[str]
+    few: bool
+    seed: int
+
+    def near(self, table: DataFrame) -> DataFrame:
+        """A table of at most one row by source, sent to all if it is small."""
+        return F.broadcast(table) if self.few else table
+
+    def at(self) -> Column:
+        """A row's place in the permuted order of its source's blocks."""
+        return permute_by(F.pmod("__hash", F.col("__blocks")), network(F.col("__blocks")), self.seed)
+
+    def place(self) -> Column:
+        """A row's place in its block; no two rows have one."""
+        return F.struct(F.col("__hash").alias("h"), *[F.col(k).alias(f"k{i}") for i, k in enumerate(self.key)], F.col("__copy").alias("c"))
+
+    def assign(self, rows: DataFrame) -> DataFrame:
+        """``rows``, which have source, key, __copy and __hash, with
+        __source_size, __target and __shards. Rows stay where they are unless
+        there are very many sources."""
+        found = rows.join(self.near(self.sources), F.col(self.source_col).eqNullSafe(F.col("__s"))).withColumn("__at", self.at())
+        extra = (F.col("__at") < F.col("__cut")) | ((F.col("__at") == F.col("__cut")) & (self.place() <= F.col("__last")))
+        times = F.col("__passes") + F.when(F.coalesce(extra, F.lit(False)), 1).otherwise(0)
+        turns = F.when(times > 0, F.sequence(F.lit(0).cast("long"), times - 1)).otherwise(F.array().cast("array<long>"))
+        of = lambda t: F.col("__first") + t * F.col("__blocks") + F.col("__at")
+        # a lambda variable holds a draw's place, so that it is found once
+        places = F.transform(turns, lambda t: permute_by(of(t), network(F.col("__total")), self.seed + 1))
+        shards = F.transform(places, lambda p: F.size(F.filter("__bounds", lambda b: b <= p)))
+        return found.withColumn("__shards", shards).select(*rows.columns, "__source_size", "__target", "__shards")
+
+
+def hashed(rows: DataFrame, key: list[str], seed: int) -> DataFrame:
+    return rows.withColumn("__hash", F.xxhash64(*key, "__copy", F.lit(seed).cast("long")))
+
+
+def plan_draws(
     rows: DataFrame,
-    size: Column,
     key: list[str],
     source_col: str = "source",
     weights: Sequence[int] = WEIGHTS,
@@ -123,76 +165,64 @@ def draws(
     shards: int = SHARDS,
     seed: int = 0,
     block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
-    """``rows`` with __copy, __size, __source_size, __target and __shards: the
-    output shard of each time that the mix takes the row (empty: not taken).
-    Pass narrow rows, which ``key`` tells apart but for copies; mix() joins
-    the wide ones."""
-    spark, columns = rows.sparkSession, rows.columns
-    # names of their own, as the caller's may be any
-    own = {c: f"__c{i}" for i, c in enumerate(columns)}
-    rows = rows.withColumn("__size", size.cast("long")).select(*[F.col(c).alias(n) for c, n in own.items()], "__size")
-    key, source_col = [own[k] for k in key], own[source_col]
-    hashed = F.xxhash64(*key, "__copy", F.lit(seed).cast("long"))
-    sized = stage(numbered_copies(rows).withColumn("__hash", hashed), "sized")
+) -> Plan:
+    """The plan for narrow rows with __size, which ``key`` tells apart but for copies."""
+    spark = rows.sparkSession
+    sized = stage(hashed(numbered_copies(rows), key, seed), "sized")
     sources = sized.groupBy(F.col(source_col).alias("s")).agg(F.sum("__size").alias("size"), F.count("*").alias("n"))
     passes = F.when(F.col("size") > 0, F.least(F.lit(cap), F.floor(F.col("target") / F.col("size")))).otherwise(0).cast("long")
     rest = F.when((F.col("passes") < cap) & (F.col("size") > 0), F.col("target") - F.col("passes") * F.col("size")).otherwise(F.lit(0.0))
     listed = target_table(sources, weights, cap).withColumn("passes", passes).withColumn("rest", rest)
-    plan = stage(listed.withColumn("blocks", F.ceil(F.col("n") / block_rows).cast("long")).drop("n", "weight"), "sources")
-    number = plan.count()
-    hint = F.broadcast if number <= SMALL else lambda df: df
-
-    same = F.col(source_col).eqNullSafe(F.col("__plan.s"))
-    dealt = sized.join(hint(plan.select("s", "sid", "blocks").alias("__plan")), same).drop("s")
-    at = permute_by(F.pmod("__hash", F.col("blocks")), network(F.col("blocks")), seed)
-    dealt = stage(dealt.withColumn("__at", at).withColumnRenamed("sid", "__sid").drop("blocks"), "dealt")
-
-    # where the permuted order passes the rest: in which superblock, in which block
-    sup = F.call_function("div", F.col("__at"), F.lit(SUPER))
-    partial = plan.filter("rest > 0").select(F.col("sid").alias("__sid"), "rest")
+    blocks = F.ceil(F.col("n") / block_rows).cast("long")
+    listed = listed.select(
+        F.col("s").alias("__s"), F.col("sid").alias("__sid"), F.col("size").alias("__source_size"), F.col("target").alias("__target"),
+        F.col("passes").alias("__passes"), F.col("rest").alias("__rest"), blocks.alias("__blocks"),
+    )
+    listed = stage(listed, "sources")
+    plan = Plan(sized, listed, source_col, key, listed.count() <= SMALL, seed)
+    own = listed.select("__s", "__sid", "__blocks", "__rest")
+    dealt = sized.join(plan.near(own), F.col(source_col).eqNullSafe(F.col("__s"))).withColumn("__at", plan.at())
+    dealt = stage(dealt.select("__sid", "__rest", "__at", "__size", "__hash", "__copy", *key), "dealt").filter("__rest > 0")
 
+    # where the permuted order passes the rest: in which superblock, in which block, at which row
     def passed(groups: DataFrame, order: str) -> DataFrame:
-        """Of groups(__sid, <order>, words, base): the last that begins before the rest."""
+        """Of groups(__sid, __rest, <order>, words, base): the last that begins before the rest."""
         ahead = Window.partitionBy("__sid").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        begins = groups.withColumn("begin", F.col("base") + F.coalesce(F.sum("words").over(ahead), F.lit(0)))
-        found = begins.join(hint(partial), "__sid").filter("begin < rest")
-        return found.groupBy("__sid").agg(F.max_by(F.struct(order, "begin"), order).alias("x")).select("__sid", f"x.{order}", "x.begin")
+        begins = groups.withColumn("begin", F.col("base") + F.coalesce(F.sum("words").over(ahead), F.lit(0))).filter(F.col("begin") < F.col("__rest"))
+        return begins.groupBy("__sid").agg(F.max_by(F.struct(order, "begin"), order).alias("x")).select("__sid", f"x.{order}", "x.begin")
 
     words = F.sum("__size").alias("words")
-    supers = dealt.groupBy("__sid", sup.alias("sup")).agg(words).withColumn("base", F.lit(0).cast("long"))
-    last = passed(supers, "sup")
-    inside = dealt.withColumn("sup", sup).join(hint(last), ["__sid", "sup"])
-    blocks = inside.groupBy("__sid", "__at", F.col("begin").alias("base")).agg(words)
-    cuts = passed(blocks, "__at").withColumnRenamed("__at", "cut")
+    sup = F.call_function("div", F.col("__at"), F.lit(SUPER))
+    supers = dealt.groupBy("__sid", "__rest", sup.alias("sup")).agg(words).withColumn("base", F.lit(0).cast("long"))
+    inside = dealt.withColumn("sup", sup).join(plan.near(passed(supers, "sup")), ["__sid", "sup"])
+    cuts = stage(passed(inside.groupBy("__sid", "__rest", "__at", F.col("begin").alias("base")).agg(words), "__at"), "cuts")
+    ordered = Window.partitionBy("__sid").orderBy(plan.place()).rowsBetween(Window.unboundedPreceding, -1)
+    most = F.col("begin") + F.coalesce(F.sum("__size").over(ordered), F.lit(0))
+    taken = dealt.join(plan.near(cuts), ["__sid", "__at"]).withColumn("near", 2 * most + F.col("__size") <= 2 * F.col("__rest")).filter("near")
+    last = taken.groupBy("__sid").agg(F.max(plan.place()).alias("__last"))
 
     # quotas, the tree, and which run of its bundle's draws a shard owns
-    quota = F.col("passes") * F.col("blocks") + F.coalesce(F.col("cut") + 1, F.lit(0))
-    planned = plan.join(cuts.withColumnRenamed("__sid", "sid"), "sid", "left").withColumn("quota", quota).withColumn("bundle", F.col("sid") % BUNDLES)
-    ahead = Window.partitionBy("bundle").orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)
-    planned = planned.withColumn("first", F.coalesce(F.sum("quota").over(ahead), F.lit(0))).withColumn("total", F.sum("quota").over(Window.partitionBy("bundle")))
+    cut = cuts.select("__sid", F.col("__at").alias("__cut"))
+    quota = F.col("__passes") * F.col("__blocks") + F.coalesce(F.col("__cut") + 1, F.lit(0))
+    planned = listed.join(cut, "__sid", "left").join(last, "__sid", "left").withColumn("quota", quota).withColumn("bundle", F.col("__sid") % BUNDLES)
+    ahead = Window.partitionBy("bundle").orderBy("__sid").rowsBetween(Window.unboundedPreceding, -1)
+    planned = planned.withColumn("__first", F.coalesce(F.sum("quota").over(ahead), F.lit(0))).withColumn("__total", F.sum("quota").over(Window.partitionBy("bundle")))
     planned = stage(planned, "planned")
-    bundles = sorted((r["bundle"], r["total"]) for r in planned.select("bundle", "total").distinct().collect())  # at most BUNDLES
+    bundles = sorted((r["bundle"], r["__total"]) for r in planned.select("bundle", "__total").distinct().collect())  # at most BUNDLES
     upto = np.cumsum(np.array(split([t for _, t in bundles], shards, seed), np.int64).reshape(shards, -1), axis=0)
-    bounds = spark.createDataFrame([(b, [int(x) for x in upto[:, i]]) for i, (b, _) in enumerate(bundles)], "bundle long, bounds array<long>")
-    planned = planned.join(F.broadcast(bounds), "bundle").withColumnRenamed("size", "__source_size").withColumnRenamed("target", "__target")
+    bounds = spark.createDataFrame([(b, [int(x) for x in upto[:, i]]) for i, (b, _) in enumerate(bundles)], "bundle long, __bounds array<long>")
+    plan.sources = planned.join(F.broadcast(bounds), "bundle").drop("bundle", "quota", "__sid", "__rest")
+    return plan
 
-    found = dealt.join(hint(planned.withColumnRenamed("sid", "__sid").drop("s", "bundle", "quota")), "__sid")
-    cutting = F.coalesce(F.col("__at") == F.col("cut"), F.lit(False))
-    before = F.sum("__size").over(Window.partitionBy("__sid").orderBy("__hash", *key, "__copy").rowsBetween(Window.unboundedPreceding, -1))
-    most = F.col("begin") + F.coalesce(before, F.lit(0))
-    whole = found.filter(~cutting).withColumn("extra", F.coalesce(F.col("__at") < F.col("cut"), F.lit(False)))
-    cut = found.filter(cutting).withColumn("extra", 2 * most + F.col("__size") <= 2 * F.col("rest"))
-    both = whole.unionByName(cut)
-    times = F.col("passes") + F.when(F.col("extra") & (F.col("__size") > 0), 1).otherwise(0)
-    turns = F.when(times > 0, F.sequence(F.lit(0).cast("long"), times - 1)).otherwise(F.array().cast("array<long>"))
 
-    def shard(turn: Column) -> Column:
-        place = permute_by(F.col("first") + turn * F.col("blocks") + F.col("__at"), network(F.col("total")), seed + 1)
-        return F.size(F.filter("bounds", lambda b: b <= place))
-
-    out = both.withColumn("__shards", F.transform(turns, shard))
-    return out.select(*[F.col(n).alias(c) for c, n in own.items()], "__copy", "__size", "__source_size", "__target", "__shards")
+def draws(rows: DataFrame, size: Column, key: list[str], source_col: str = "source", **options) -> DataFrame:
+    """``rows`` with __copy, __size, __source_size, __target and __shards: the
+    output shard of each time that the mix takes the row (empty: not taken).
+    Pass narrow rows, which ``key`` tells apart but for copies; names that
+    begin with two underscores are kept for the operator."""
+    plan = plan_draws(rows.withColumn("__size", size.cast("long")), key, source_col, **options)
+    out = plan.assign(plan.sized)
+    return out.select(*rows.columns, "__copy", "__size", "__source_size", "__target", "__shards")
 
 
 def words_in(text: Column) -> Column:
@@ -202,20 +232,30 @@ def words_in(text: Column) -> Column:
 
 def mix(rows: DataFrame, size: Column, seed: int = 0, source_col: str = "source", shards: int = SHARDS, **options) -> DataFrame:
     """The mix itself: rows as often as taken, dealt out by __shard and in each
-    shard sorted by __order. A shard is one or more whole partitions, in order."""
+    shard sorted by __order. A shard is one or more whole partitions, in order.
+    Whole rows move once, but for those that repeat."""
     cells = [F.col(c) for c in rows.columns] + [F.col(c).isNull() for c in rows.columns]
     key = ["__row1", "__row2"]
     keyed = rows.withColumns({"__row1": F.xxhash64(*cells), "__row2": F.xxhash64(F.lit(1), *cells)})
-    narrow = stage(keyed.select(*key, F.col(source_col), size.cast("long").alias("__words")), "narrow")
-    drawn = stage(draws(narrow, F.col("__words"), key, source_col, seed=seed, shards=shards, **options).filter(F.size("__shards") > 0), "drawn")
-    copies, words = drawn.agg(F.max("__copy"), F.sum(F.col("__size") * F.size("__shards"))).first()
-    order = F.xxhash64(*key, "__copy", "__pass", F.lit(seed + 1).cast("long"))
-    taken = drawn.select(*key, "__copy", F.posexplode("__shards").alias("__pass", "__shard")).select(*key, "__shard", order.alias("__order"))
-    texts = keyed.dropDuplicates(key) if copies else keyed  # rows that repeat meet their draws once
+    narrow = stage(keyed.select(*key, F.col(source_col), size.cast("long").alias("__size")), "narrow")
+    plan = plan_draws(narrow, key, source_col, seed=seed, shards=shards, **options)
+    one = F.lit(0).cast("long")
+    copies = stage(plan.sized.filter("__copy > 0").select(*key).distinct(), "copies")
+    if copies.isEmpty():
+        numbered = keyed.withColumn("__copy", one)
+    else:
+        # rows that repeat meet the numbers of their copies once
+        known = sent_if_few(copies)
+        numbers = plan.sized.join(known, key, "left_semi").select(*key, "__copy")
+        repeated = keyed.join(known, key, "left_semi").dropDuplicates(key).join(numbers, key)
+        numbered = keyed.join(known, key, "left_anti").withColumn("__copy", one).unionByName(repeated)
+    total = plan.sources.agg(F.sum("__target")).first()[0]
+    drawn = plan.assign(hashed(numbered, key, seed)).select(*rows.columns, *key, "__copy", F.posexplode("__shards").alias("__pass", "__shard"))
     # a shard is cut into equal parts of the range of its order
-    parts = max(1, -(-int(words or 0) // (shards * PART_WORDS)))
+    parts = max(1, -(-int(total or 0) // (shards * PART_WORDS)))
+    order = F.xxhash64(*key, "__copy", "__pass", F.lit(seed + 1).cast("long"))
     part = F.floor((F.col("__order").cast("double") / 2.0**64 + 0.5) * parts)
     place = F.col("__shard") * parts + F.least(part, F.lit(parts - 1))
-    joined = texts.join(taken, key).withColumn("__place", place.cast("int"))
-    dealt = joined.repartitionById(shards * parts, "__place").sortWithinPartitions("__shard", "__order")
+    placed = drawn.withColumn("__order", order).withColumn("__place", place.cast("int"))
+    dealt = placed.repartitionById(shards * parts, "__place").sortWithinPartitions("__shard", "__order")
     return dealt.select(*rows.columns, "__shard", "__order")

@@ -79,7 +79,7 @@ def plain(rows, block_rows, shards=8, seed=0, bundles=mixing.BUNDLES):
             if at(h) == cut:
                 extra = 2 * ahead + n <= 2 * rest
                 ahead += n
-            times = passes + (1 if extra and n else 0)
+            times = passes + (1 if extra else 0)
             where = [permuted(first[sid] + t * blocks + at(h), total, seed + 1) for t in range(times)]
             out.append((key, n, sizes[s], round(want[s], 6), [sum(u <= w for u in upto) for w in where]))
     return sorted(out, key=repr)
