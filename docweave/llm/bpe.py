@@ -79,6 +79,10 @@ class Codec:
         safe &= (left < 0x80) | _WHITE[right]
         self.cut = ~inside & safe
         self.digits = {i: str(i) for i in self.bytes_of}
+        listed = [self.bytes_of.get(i, b"") for i in range(max(self.bytes_of) + 1)]
+        self.widths = np.fromiter(map(len, listed), np.int64, len(listed))
+        self.places = np.cumsum(self.widths) - self.widths
+        self.spelled = np.frombuffer(b"".join(listed), np.uint8)
         self.forget()
 
     def forget(self):
@@ -123,9 +127,12 @@ class Codec:
             sizes.append(size)
         return np.concatenate(flat), np.concatenate(sizes)
 
-    def decode(self, ids) -> bytes:
-        """Bytes of ids, added tokens included."""
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
+        """The texts of ids that lie one after another, added tokens included."""
+        widths = self.widths[ids]
+        data = self.spelled[ragged(self.places[ids], widths)].tobytes()
+        ends = np.concatenate([[0], np.cumsum(widths)])[offsets].tolist()
+        return [data[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
     def numbers(self, fragments: list[bytes]) -> np.ndarray:
         """Numbers of fragments in the table of what is known."""
@@ -187,7 +194,13 @@ def _parts(codec_: Codec, whole: pa.RecordBatch):
         yield whole
 
 
-def _encode(path: str, keep: list[str]):
+def _sha(texts: list[str]) -> list[str]:
+    return [hashlib.sha256(t.encode()).hexdigest() for t in texts]
+
+
+def _encode(path: str, keep: list[str], digest: bool):
+    names = [*keep, "ids", *["decoded_sha256"] * digest]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
@@ -195,7 +208,8 @@ def _encode(path: str, keep: list[str]):
                 for part in _parts(c, whole):
                     ids, offsets = c.encode(part.column("text"))
                     lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
-                    yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keep], lists], [*keep, "ids"])
+                    read = [pa.array(_sha(c.decode(ids, offsets)))] if digest else []
+                    yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keep], lists, *read], names)
 
     return lean(run)
 
@@ -211,22 +225,26 @@ def _named(out: DataFrame, keep: list[str], names: list[str]) -> DataFrame:
     return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], *[c for c in out.columns if c not in names])
 
 
-def encode(docs: DataFrame, path: str, keep: list[str], text_col: str = "text") -> DataFrame:
-    """Columns ``keep`` and ids (array of int) of every whole text."""
+def encode(docs: DataFrame, path: str, keep: list[str], text_col: str = "text", digest: bool = False) -> DataFrame:
+    """Columns ``keep`` and ids (array of int) of every whole text; with
+    ``digest`` also the SHA-256 of the text that the ids decode to."""
     rows, names, types = _rows(docs, keep, text_col)
-    return _named(rows.mapInArrow(_encode(path, names), f"{types}, ids array<int>"), keep, names)
+    schema = f"{types}, ids array<int>" + ", decoded_sha256 string" * digest
+    return _named(rows.mapInArrow(_encode(path, names, digest), schema), keep, names)
 
 
 def _decode(path: str, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
-            ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column("ids")), 0).to_numpy(zero_copy_only=False))
+            sizes = pc.fill_null(pc.list_value_length(batch.column("ids")), 0).to_numpy(zero_copy_only=False)
+            ids = pc.list_flatten(batch.column("ids")).to_numpy(zero_copy_only=False)
+            ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
             # about IDS ids at a time; a single longer text stays whole
-            cuts = np.flatnonzero(np.diff(ends // IDS, prepend=0)).tolist()
+            cuts = np.flatnonzero(np.diff(ends[1:] // IDS, prepend=0)).tolist()
             for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
-                part = batch.slice(a, b - a)
-                texts = [c.decode(ids or ()).decode("utf-8", "replace") for ids in part.column("ids").to_pylist()]
+                part, own = batch.slice(a, b - a), ids[ends[a] : ends[b]]
+                texts = c.decode(own, ends[a : b + 1] - ends[a])
                 yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keep], pa.array(texts, pa.string())], [*keep, "text"])
 
     return lean(run)
@@ -249,11 +267,9 @@ def _digest(path: str, keep: list[str]):
             for whole in slices(batch, "text", SLICE):
                 for part in _parts(c, whole):
                     ids, offsets = c.encode(part.column("text"))
-                    id_hex, text_hex = [], []
+                    id_hex, text_hex = [], _sha(c.decode(ids, offsets))
                     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                        own = ids[a:b].tolist()
-                        id_hex.append(sha(",".join(map(digits, own)).encode()).hexdigest())
-                        text_hex.append(sha(c.decode(own).decode("utf-8", "replace").encode()).hexdigest())
+                        id_hex.append(sha(",".join(map(digits, ids[a:b].tolist())).encode()).hexdigest())
                     yield pa.RecordBatch.from_arrays(
                         [*[part.column(k) for k in keep], pa.array(np.diff(offsets)), pa.array(id_hex), pa.array(text_hex)],
                         [*keep, "n_tokens", "ids_sha256", "decoded_sha256"],
