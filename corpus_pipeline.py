@@ -44,9 +44,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
-    encoded = bpe.encode(docs, path, ["doc_id", "source"])
-    both = bpe.decode(encoded, path, ["doc_id", "source", "ids"])
-    return both.select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.encode("text", "utf-8"), 256).alias("decoded_sha256"))
+    encoded = bpe.encode(docs, path, ["doc_id", "source"], digest=True)
+    return encoded.withColumn("n_tokens", F.size("ids").cast("long"))
 
 
 STAGES = [
