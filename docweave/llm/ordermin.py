@@ -1,32 +1,28 @@
 """Document fingerprints by Order MinHash.
 
-A text is cut into tokens (runs of characters that are no white space, long
-runs into pieces of ``PIECE`` characters); k-mers are ``K`` tokens in a row.
-Each k-mer is numbered by its occurrence in the text, and (k-mer, occurrence)
-is hashed. The hash space has ``TUPLES`` x ``ORDER`` parts; in each part the
-minimal numbered k-mer is selected, and the ``ORDER`` selected ones of a tuple
-are put in the order in which they stand in the text before the tuple is
-hashed. Moving a passage changes the order and so the signature, which plain
-MinHash would not notice; the share of equal tuples estimates likeness under
-edit distance.
-
-That is the law "parts", which short texts and texts without white space fill
-badly. Under the law "whole" a tuple with fewer than ``ORDER`` selected k-mers
-takes those that are minimal under the tuple's own seed among all selected ones
-of the text, so order counts in texts of any length; and a run of over
-``PIECE`` characters gives the pieces at every position, so that an insertion
-changes only those around it.
+A text is cut into tokens (runs of characters that are no white space; a run of
+over ``PIECE`` characters gives the pieces of that length at every position, so
+that an insertion changes only those around it); k-mers are ``K`` tokens in a
+row. Each k-mer is numbered by its occurrence in the text, and (k-mer,
+occurrence) is hashed. Each of ``TUPLES`` tuples hashes all numbered k-mers of
+the text anew, under seeds of its own: one 64-bit hash, whose halves select a
+minimal numbered k-mer each. The two are put in the order in which they stand
+in the text, and the tuple is hashed. So a tuple is equal in two texts if they
+share both minimal k-mers in the same order: moving a passage changes about
+half the tuples, which plain MinHash would not notice, in texts of any length.
+The share of equal tuples estimates likeness under edit distance.
 
 Everything is DataFrame operations. Rows are dealt out by document once;
-occurrence numbers, minima and tuples all group by document and more, so
-nothing is dealt out again, and a document's k-mers spill rather than fill
-memory.
-
-Defined results: null text counts as empty; texts without a token have a
-fingerprint of empty tuples, and two of those are alike (1.0); texts of fewer
-than ``K`` tokens form one k-mer of what there is; rows that repeat id and
-text count as one document for "the next document" and get the same result;
-null ids come first.
+occurrence numbers and minima group by document and more, so nothing is dealt
+out again. The minima of a text are 2 x ``TUPLES`` numbers in one aggregate; a
+text's tokens and k-mers are an array of its row, which the sort for the
+occurrence numbers may spill.
+
+Defined results: null text counts as empty; texts without a token have an empty
+fingerprint, and two of those are alike (1.0), one and another text are not
+(0.0); texts of fewer than ``K`` tokens form one k-mer of what there is; rows
+that repeat id and text count as one document for "the next document" and get
+the same result; null ids come first.
 """
 
 from __future__ import annotations
@@ -38,8 +34,6 @@ from docweave.llm._common import stage
 from docweave.llm.sharding import number_rows
 
 K = 2
-#: Selected k-mers of a tuple; two, so that order is a minimum and a maximum.
-ORDER = 2
 TUPLES = 32
 PIECE = 12
 #: Code points that one task of the text exchange gets, about.
@@ -48,83 +42,66 @@ CHARS_PER_DEAL = 4_000_000
 NO_ID = -(1 << 63)
 
 
-def kmers(text: Column, whole: bool = False) -> Column:
-    """Hashes of the k-mers of a text, in text order; with ``whole``, of long
-    runs the pieces at every position."""
+def kmers(text: Column) -> Column:
+    """Hashes of the k-mers of a text, in text order."""
 
     def hashed(tokens):
         grams = F.transform(tokens, lambda t, i: F.xxhash64(t, *[F.get(tokens, i + j) for j in range(1, K)]))
         return F.slice(grams, 1, F.greatest(F.size(tokens) - (K - 1), F.lit(1)))
 
-    pattern = rf"([^\s]{{1,{PIECE}}})"
-    if whole:
-        # a piece, then one character on while a whole piece is left, else to the end of the run
-        pattern = rf"(?=((?<!\S)\S{{1,{PIECE}}}(?!\S)|\S{{{PIECE}}}))(?:\S(?=\S{{{PIECE}}})|\S{{1,{PIECE}}})"
+    # a piece, then one character on while a whole piece is left, else to the end of the run
+    pattern = rf"(?=((?<!\S)\S{{1,{PIECE}}}(?!\S)|\S{{{PIECE}}}))(?:\S(?=\S{{{PIECE}}})|\S{{1,{PIECE}}})"
     tokens = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
     # a lambda variable holds the tokens, so that they are found once
     return F.transform(F.array(tokens), hashed)[0]
 
 
-def _filled(least: DataFrame, key: list[str]) -> DataFrame:
-    """(key..., kind, tuple, h, last, n) of the selected k-mers of each text;
-    a tuple that lacks some takes others of the text by its own seed. Facts
-    (kind below 0) stay as they are."""
-    own = F.array_sort(F.collect_list(F.struct("part", "h", "pos")))
-    sets = least.groupBy(*key, "kind").agg(own.alias("all"))
-
-    def chosen(t):
-        pair = F.filter("all", lambda x: F.shiftright(x["part"], 1) == t)
-        seeded = F.slice(F.array_sort(F.transform("all", lambda x: F.struct(F.xxhash64(x["h"], t).alias("by"), x["h"].alias("h"), x["pos"].alias("pos")))), 1, ORDER)
-        plain = lambda a: F.transform(a, lambda x: F.struct(x["pos"].alias("pos"), x["h"].alias("h")))
-        return F.struct(t.cast("int").alias("tuple"), F.array_sort(F.when((F.size(pair) < ORDER) & (F.col("kind") >= 0), plain(seeded)).otherwise(plain(pair))).alias("picked"))
-
-    full = F.transform(F.sequence(F.lit(0), F.lit(TUPLES - 1)), chosen)
-    one = sets.select(*key, "kind", F.explode(full).alias("x")).select(*key, "kind", "x.tuple", "x.picked").filter(F.size("picked") > 0)
-    return one.select(*key, "kind", "tuple", F.get("picked", F.lit(0))["h"].alias("h"), F.element_at("picked", -1)["h"].alias("last"), F.size("picked").alias("n"))
-
-
-def signatures(texts: DataFrame, key: list[str], columns: list[str], facts: list[Column] | None = None, whole: bool = False) -> DataFrame:
-    """(key..., sig_<column>, has_<column> for each of ``columns``, fact0,
-    fact1, ...): a signature is a sorted array of (tuple, hash), has_ the bits
-    of the tuples that are not empty. ``facts`` are longs to carry along.
-    ``key`` identifies a row; if ``texts`` is dealt out by it, nothing is dealt
-    out again."""
+def signatures(texts: DataFrame, key: list[str], columns: list[str], facts: list[Column] | None = None) -> DataFrame:
+    """(key..., sig_<column> for each of ``columns``, fact0, fact1, ...): a
+    signature is an array of the hashes of the tuples, null if the text has no
+    token. ``facts`` are longs to carry along. ``key`` identifies a row; if
+    ``texts`` is dealt out by it, nothing is dealt out again."""
     facts = facts or [F.lit(0)]
-    kinds = [F.struct(F.lit(i).alias("kind"), kmers(F.col(c), whole).alias("grams")) for i, c in enumerate(columns)]
+    kinds = [F.struct(F.lit(i).alias("kind"), kmers(F.col(c)).alias("grams")) for i, c in enumerate(columns)]
     carried = F.struct(F.lit(-1).alias("kind"), F.array(*[f.cast("long") for f in facts]).alias("grams"))
     parts = texts.select(*key, F.explode(F.array(*kinds, carried)).alias("x")).select(*key, "x.kind", "x.grams")
     grams = parts.select(*key, "kind", F.posexplode("grams").alias("pos", "gram"))
     # the k-mer leads the sort: its bits differ early
     seen = F.row_number().over(Window.partitionBy("gram", *key, "kind").orderBy("pos"))
-    fact = F.col("kind") < 0
-    hashed = grams.select(*key, "kind", "pos", F.when(fact, F.col("gram")).otherwise(F.xxhash64("gram", seen)).alias("h"))
-    part = F.when(fact, F.col("pos") * 2).otherwise(F.pmod("h", F.lit(2 * TUPLES))).cast("int")
-    least = hashed.groupBy(*key, "kind", part.alias("part")).agg(F.min("h").alias("h"), F.min_by("pos", "h").alias("pos"))
-    # the two selected k-mers of each tuple, in text order
-    tuples = _filled(least, key) if whole else least.groupBy(*key, "kind", F.shiftright("part", 1).alias("tuple")).agg(
-        F.min_by("h", "pos").alias("h"), F.max_by("h", "pos").alias("last"), F.count("*").alias("n")
-    )
-    made = F.xxhash64("tuple", "h", F.when(F.col("n") > 1, F.col("last")))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("tuple"))
-    is_ = lambda i: F.col("kind") == i
-    return tuples.groupBy(*key).agg(
-        *[F.array_sort(F.collect_list(F.when(is_(i), F.struct("tuple", made.alias("hash"))))).alias(f"sig_{c}") for i, c in enumerate(columns)],
-        *[F.coalesce(F.bit_or(F.when(is_(i), bit)), F.lit(0)).alias(f"has_{c}") for i, c in enumerate(columns)],
-        *[F.max(F.when(is_(-1) & (F.col("tuple") == i), F.col("h"))).alias(f"fact{i}") for i in range(len(facts))],
+    numbered = grams.select(*key, "kind", "pos", "gram", F.xxhash64("gram", seen).alias("h"))
+    hashed = numbered.select(*key, "kind", "pos", "gram", *[F.xxhash64("h", F.lit(t)).alias(f"x{t}") for t in range(TUPLES)])
+    # a minimum holds half a hash in its high bits and the place in the text in its 31 low ones
+    place = F.col("pos").cast("long")
+    packed = lambda half: F.shiftleft(half, 31).bitwiseOR(place)
+    upper = lambda t: F.min(packed(F.shiftrightunsigned(f"x{t}", 32))).alias(f"a{t}")
+    lower = lambda t: F.min(packed(F.col(f"x{t}").bitwiseAND(F.lit(0xFFFFFFFF)))).alias(f"b{t}")
+    fact = [F.max(F.when((F.col("kind") < 0) & (F.col("pos") == i), F.col("gram"))).alias(f"fact{i}") for i in range(len(facts))]
+    least = hashed.groupBy(*key, "kind").agg(*[f(t) for t in range(TUPLES) for f in (upper, lower)], *fact)
+
+    def made(t: int) -> Column:
+        first, second = F.col(f"a{t}"), F.col(f"b{t}")
+        at = lambda m: m.bitwiseAND(F.lit((1 << 31) - 1))
+        order = F.when(at(first) == at(second), 0).when(at(first) < at(second), 1).otherwise(2)
+        return F.xxhash64(F.lit(t), order, F.shiftright(first, 31), F.shiftright(second, 31))
+
+    signed = least.select(*key, "kind", F.array(*[made(t) for t in range(TUPLES)]).alias("sig"), *[f"fact{i}" for i in range(len(facts))])
+    return signed.groupBy(*key).agg(
+        *[F.any_value(F.when(F.col("kind") == i, F.col("sig")), F.lit(True)).alias(f"sig_{c}") for i, c in enumerate(columns)],
+        *[F.max(f"fact{i}").alias(f"fact{i}") for i in range(len(facts))],
     )
 
 
 def likeness(a: str, b: str) -> Column:
-    """Share of equal tuples among those that either text has; both empty: 1."""
-    either = F.bit_count(F.col(f"has_{a}").bitwiseOR(F.col(f"has_{b}")))
-    hashes = lambda c: F.transform(f"sig_{c}", lambda x: x["hash"])
-    return F.when(either > 0, F.size(F.array_intersect(hashes(a), hashes(b))) / either).otherwise(F.lit(1.0))
+    """Share of equal tuples; both texts without tokens: 1, one of them: 0."""
+    one, other = F.col(f"sig_{a}"), F.col(f"sig_{b}")
+    same = F.size(F.filter(F.zip_with(one, other, lambda x, y: x == y), lambda e: e))
+    return F.when(one.isNull() & other.isNull(), 1.0).when(one.isNull() | other.isNull(), 0.0).otherwise(same / F.lit(TUPLES))
 
 
 def as_text(column: str) -> Column:
-    """The signature as hex digits: two of the tuple's number, 16 of its hash."""
-    digits = lambda c, n: F.lower(F.lpad(F.hex(c), n, "0"))
-    return F.array_join(F.transform(f"sig_{column}", lambda x: F.concat(digits(x["tuple"], 2), digits(x["hash"], 16))), "")
+    """The signature as hex digits, 16 by tuple."""
+    digits = F.transform(f"sig_{column}", lambda x: F.lower(F.lpad(F.hex(x), 16, "0")))
+    return F.coalesce(F.array_join(digits, ""), F.lit(""))
 
 
 def _as_longs(hex_: Column) -> list[Column]:
@@ -132,7 +109,7 @@ def _as_longs(hex_: Column) -> list[Column]:
     return [F.conv(F.substring(hex_, 1 + 16 * i, 16), 16, -10).cast("long") for i in range(4)]
 
 
-def fingerprint_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+def fingerprint_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every document's fingerprint, that of its edited text (the last half of
     its code points replaced by as many of the next document's first), and how
     alike they and the next document's are."""
@@ -158,10 +135,10 @@ def fingerprint_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: st
     )
     kept = F.substring(F.col("text"), F.lit(1), (F.col("n") - half).cast("int"))
     pairs = own.join(given, ["d", "th"]).select("d", "th", "text", F.concat(kept, "start").alias("edited"))
-    signed = stage(signatures(pairs, ["d", "th"], ["text", "edited"], _as_longs(F.sha2("edited", 256)), whole), "signatures")
+    signed = stage(signatures(pairs, ["d", "th"], ["text", "edited"], _as_longs(F.sha2("edited", 256))), "signatures")
 
     following = signed.join(plan.select("d", "th", "for_d", "for_th"), ["d", "th"]).select(
-        F.col("for_d").alias("d"), F.col("for_th").alias("th"), F.col("sig_text").alias("sig_next"), F.col("has_text").alias("has_next")
+        F.col("for_d").alias("d"), F.col("for_th").alias("th"), F.col("sig_text").alias("sig_next")
     )
     joined = signed.join(following, ["d", "th"]).join(plan.select("d", "th", "n", "copies"), ["d", "th"])
     if (repeated or 0) > 1:

@@ -1,10 +1,12 @@
 import hashlib
+import random
 import re
 
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from docweave.llm import ordermin
+from docweave.llm import ordermin, queries
 
 MASK = 2**64 - 1
 
@@ -21,37 +23,41 @@ def signed(x):
     return x - 2**64 if x >> 63 else x
 
 
+def tokens_of(text):
+    n = ordermin.PIECE
+    runs = [r for r in re.split("[ \t\n\x0b\f\r]+", text) if r]
+    return [r[i : i + n] for r in runs for i in range(max(1, len(r) - n + 1))]
+
+
 def brute(text):
-    tokens = re.findall(rf"[^ \t\n\x0b\f\r]{{1,{ordermin.PIECE}}}", text)
-    grams = []
+    tokens, grams = tokens_of(text), []
     for i in range(max(1, len(tokens) - ordermin.K + 1) if tokens else 0):
         seed = 42
         for t in tokens[i : i + ordermin.K]:
             seed = xxhash.xxh64_intdigest(t.encode(), seed)
         grams.append(seed)
-    seen, best = {}, {}
-    for pos, g in enumerate(grams):
+    seen, numbered = {}, []
+    for g in grams:
         seen[g] = seen.get(g, 0) + 1
-        h = signed(int_hash(seen[g], long_hash(g, 42)))
-        part = h % (ordermin.TUPLES * ordermin.ORDER)
-        best[part] = min(best.get(part, (h, pos)), (h, pos))
+        numbered.append(int_hash(seen[g], long_hash(g, 42)))
     out = []
-    for t in range(ordermin.TUPLES):
-        own = [best[p] for p in range(t * ordermin.ORDER, (t + 1) * ordermin.ORDER) if p in best]
-        seed = int_hash(t, 42)
-        for h, _ in sorted(own, key=lambda x: x[1]):
-            seed = long_hash(h, seed)
-        out.append(seed if own else None)
+    for t in range(ordermin.TUPLES) if numbered else ():
+        fresh = [int_hash(t, long_hash(h, 42)) for h in numbered]
+        a, at_a = min((x >> 32, pos) for pos, x in enumerate(fresh))
+        b, at_b = min((x & 0xFFFFFFFF, pos) for pos, x in enumerate(fresh))
+        order = 0 if at_a == at_b else 1 if at_a < at_b else 2
+        out.append(long_hash(b, long_hash(a, int_hash(order, int_hash(t, 42)))))
     return out
 
 
 def shown(sig):
-    return "".join(f"{t:02x}{h:016x}" for t, h in enumerate(sig) if h is not None)
+    return "".join(f"{h:016x}" for h in sig)
 
 
 def alike(a, b):
-    either = [(x, y) for x, y in zip(a, b, strict=True) if x is not None or y is not None]
-    return sum(x == y for x, y in either) / len(either) if either else 1.0
+    if not a or not b:
+        return 1.0 if a == b else 0.0
+    return sum(x == y for x, y in zip(a, b, strict=True)) / len(a)
 
 
 def expected(rows):
@@ -94,10 +100,50 @@ def test_odd_rows(spark):
     assert ordermin.fingerprint_with_edits(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_order_matters(spark):
-    words = [f"w{i}" for i in range(400)]
-    texts = [" ".join(words), " ".join(words[200:] + words[:200]), " ".join(words[:380] + ["new"] * 20)]
-    docs = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
-    rows = {r.id: {x["tuple"]: x["hash"] for x in r.sig_t} for r in ordermin.signatures(docs, ["id"], ["t"]).collect()}
-    sig = {i: [s.get(t) for t in range(ordermin.TUPLES)] for i, s in rows.items()}
-    assert alike(sig[0], sig[2]) > alike(sig[0], sig[1]) > 0.1
+def mean_likeness(spark, pairs):
+    rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "id long, a string, b string")
+    signed = ordermin.signatures(rows, ["id"], ["a", "b"])
+    return signed.agg(F.avg(ordermin.likeness("a", "b"))).first()[0]
+
+
+@pytest.mark.parametrize("n", [10, 20, 40, 80, 400])
+def test_order_matters(spark, n):
+    """Halves swapped: about half the tuples keep their order, whatever the length."""
+    swapped, edited = [], []
+    for k in range(40):
+        w = [f"t{k}w{i}" for i in range(n)]
+        swapped.append((" ".join(w), " ".join(w[n // 2 :] + w[: n // 2])))
+        edited.append((" ".join(w), " ".join(w[:-1] + ["new"])))
+    found = mean_likeness(spark, swapped)
+    assert 0.2 < found < 0.6
+    assert mean_likeness(spark, edited) > found + 0.1
+
+
+def test_likeness_falls_with_edit_distance(spark):
+    rng, means = random.Random(2), []
+    for edits in (0, 2, 8, 32, 128):
+        pairs = []
+        for k in range(30):
+            w = [f"t{k}w{i}" for i in range(200)]
+            v = list(w)
+            for i in rng.sample(range(200), edits):
+                v[i] = f"e{k}{i}"
+            pairs.append((" ".join(w), " ".join(v)))
+        means.append(mean_likeness(spark, pairs))
+    assert means[0] == 1.0 and means == sorted(means, reverse=True) and means[1] > 0.85 and means[4] < 0.1
+
+
+def test_insertion_in_a_run_without_white_space(spark):
+    run = "".join(chr(0x4E00 + i * 7919 % 20000) for i in range(3000))
+    assert mean_likeness(spark, [(run, "x" + run), ("\U0001f600" * 2 + run, run)]) > 0.9
+
+
+def test_pieces(spark):
+    text = "ab \U0001f600\U0001f601 abcdefghijkl abcdefghijklmn\n"
+    df = spark.createDataFrame([(text,)], "t string").select(F.size(ordermin.kmers(F.col("t"))).alias("n"))
+    assert df.first().n == 3 + 3 - 1  # three short tokens, three pieces
+
+
+def test_query(spark, sf):
+    found = queries.op6_ordermin(spark, sf)
+    assert found.filter("n_chars > 0 and length(fingerprint) = 32 * 16").count() > 150
