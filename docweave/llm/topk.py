@@ -12,12 +12,18 @@ queries. Cells are chained by nearness into groups of about ``GROUP`` queries;
 a vector is sent to the groups in which some cell needs it, in packed blocks,
 and each group is solved block by block in numpy.
 
-Where a group needs much data its blocks are dealt over several tasks, each
-with a copy of the group's queries, and the partial results are ranked again.
-What is broadcast is bounded: ``PIVOTS`` pivots and their summaries.
+How many vectors a group needs is counted first. Where they are many, its
+blocks are dealt over several tasks by a hash, each with a copy of the group's
+queries, about one for ``TASK_ROWS`` vectors that are needed; the partial
+results are ranked again. What is broadcast is bounded: ``PIVOTS`` pivots and
+their summaries. Vectors travel in the narrowest type that holds their block.
 
-Scores are exact integers: float64 products while they stay below 2**53,
-Python integers otherwise, and the ends of the long range beyond it.
+Scores are exact integers: float64 products while they stay below 2**53, 64-bit
+or Python integers otherwise, and the ends of the long range beyond it.
+
+The ``LENGTHS`` most frequent vector lengths each have pivots of their own. If
+there are more, all others are solved together, without pivots: queries and
+data of one length meet in blocks.
 
 Defined results: vectors that are null or hold null or non-finite components,
 and rows without an id, take no part; vectors of different lengths are
@@ -29,6 +35,7 @@ candidate; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,16 +43,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docweave.llm._common import bounded_collect, stage
+from docweave.llm._common import stage
 
 PIVOTS = 512
-GROUP = 1024
+GROUP = 4096
 #: Groups at most; beyond that they hold more queries each.
 GROUPS = 4096
 #: Rows of a packed block, and data rows that one task of a group sees, about.
 PACK = 4096
 TASK_ROWS = 1 << 17
-LENGTHS = 64
+LENGTHS = 16
 _EXACT = float(1 << 53)
 
 
@@ -83,12 +90,32 @@ def _scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.zeros((len(a), len(b)), np.int64)
     if np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * a.shape[1] < _EXACT:
         return (a @ b.T).astype(np.int64)
-    whole = [[[int(x) for x in row] for row in m] for m in (a, b)]
-    out = np.empty((len(a), len(b)), object)
-    for i, q in enumerate(whole[0]):
-        for j, x in enumerate(whole[1]):
-            out[i, j] = max(-(2**63), min(2**63 - 1, sum(s * t for s, t in zip(q, x, strict=True))))
-    return out
+    largest = int(np.abs(a).max(initial=0)) * int(np.abs(b).max(initial=0)) * a.shape[1]
+    if largest < 2**63:
+        return a.astype(np.int64) @ b.astype(np.int64).T
+    whole = [np.array([[int(x) for x in row] for row in m], object) for m in (a, b)]
+    return np.maximum(np.minimum(whole[0] @ whole[1].T, 2**63 - 1), -(2**63))
+
+
+def _narrow(v: np.ndarray) -> np.ndarray:
+    """The same whole numbers in the narrowest type that holds them."""
+    most = np.abs(v).max(initial=0)
+    return v.astype(np.int16 if most < 2**15 else np.int32 if most < 2**31 else np.float64)
+
+
+_BLOCK = "grp long, task int, kind int, rids binary, ids binary, width int, v binary"
+
+
+def _block(group: int, task: int, kind: int, rid: np.ndarray, ids: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    v = _narrow(v)
+    values = [group, task, kind, rid.tobytes(), ids.tobytes(), v.itemsize, np.ascontiguousarray(v).tobytes()]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, types, strict=True)], ["grp", "task", "kind", "rids", "ids", "width", "v"])
+
+
+def _opened(width: int, v: bytes, rows: int) -> np.ndarray:
+    flat = np.frombuffer(v, {2: np.int16, 4: np.int32, 8: np.float64}[width])
+    return flat.reshape(rows, len(flat) // max(1, rows)).astype(np.float64)
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -135,47 +162,78 @@ def _slack(x):
     return 1e-6 + 1e-9 * np.abs(x)
 
 
-def _send(pivots, plan, tasks: int, length: int):
+def _needs(pivots, plan, length: int, batches: Iterator[pa.RecordBatch]):
+    """Slices of about PACK rows with their vectors, and by row and group: is it needed there?"""
+    centers, (group_of, parts, radius, bound) = pivots.value, plan.value
+    groups = int(max((g + n for g, n in zip(group_of, parts, strict=True) if n), default=0))
+    for whole in batches:
+        for s in range(0, whole.num_rows, PACK):
+            batch = whole.slice(s, PACK)
+            v = _matrix(batch.column("v"), length)
+            norm = np.sqrt((v * v).sum(1))
+            most = v @ centers.T + norm[:, None] * radius
+            needed = (most + _slack(most) >= bound) & (parts > 0)
+            by_group = np.zeros((len(v), groups), bool)
+            for c in np.flatnonzero(parts):
+                by_group[:, group_of[c] : group_of[c] + parts[c]] |= needed[:, c : c + 1]
+            yield batch, v, by_group
+
+
+def _count(pivots, plan, length: int):
+    """(grp, n): how many vectors each group needs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0
+        for _, _, by_group in _needs(pivots, plan, length, batches):
+            total = total + by_group.sum(axis=0, dtype=np.int64)
+        if np.ndim(total):
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["grp", "n"])
+
+    return run
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A hash of whole numbers."""
+    x = (x.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def _send(pivots, plan, tasks, length: int):
     """Packed blocks of the data that each group needs, and of its queries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centers, (group_of, parts, radius, bound) = pivots.value, plan.value
-        names = ["grp", "task", "kind", "rids", "ids", "v"]
-        groups = int(max((g + n for g, n in zip(group_of, parts, strict=True) if n), default=0))
-
-        def block(group, task, kind, rid, ids, v):
-            values = [group, task, kind, rid.tobytes(), ids.tobytes(), np.ascontiguousarray(v).tobytes()]
-            types = [pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 3]
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, types, strict=True)], names)
-
-        for whole in batches:
-            for s in range(0, whole.num_rows, PACK):
-                batch = whole.slice(s, PACK)
-                v = _matrix(batch.column("v"), length)
-                rid, ids = batch.column("rid").to_numpy(), batch.column("id").to_numpy()
-                norm = np.sqrt((v * v).sum(1))
-                most = v @ centers.T + norm[:, None] * radius
-                needed = (most + _slack(most) >= bound) & (parts > 0)
-                task = int(rid[0] % tasks)
-                by_group = np.zeros((len(v), groups), bool)
-                for c in np.flatnonzero(parts):
-                    for g in range(group_of[c], group_of[c] + parts[c]):
-                        by_group[:, g] |= needed[:, c]
-                for g in np.flatnonzero(by_group.any(axis=0)).tolist():
-                    rows = by_group[:, g]
-                    yield block(g, task, 1, rid[rows], ids[rows], v[rows])
-                asks = np.flatnonzero(batch.column("query").to_numpy(zero_copy_only=False))
-                if len(asks):
-                    cell = batch.column("cell").to_numpy()[asks]
-                    own = group_of[cell] + rid[asks] % parts[cell]
-                    for g in np.unique(own).tolist():
-                        rows = asks[own == g]
-                        for t in range(tasks):
-                            yield block(g, t, 0, rid[rows], ids[rows], v[rows])
+        group_of, parts, _, _ = plan.value
+        for batch, v, by_group in _needs(pivots, plan, length, batches):
+            rid, ids = batch.column("rid").to_numpy(), batch.column("id").to_numpy()
+            for g in np.flatnonzero(by_group.any(axis=0)).tolist():
+                rows = by_group[:, g]
+                task = int(_mixed(rid[:1] + g)[0] % np.uint64(tasks.value[g]))
+                yield _block(g, task, 1, rid[rows], ids[rows], v[rows])
+            asks = np.flatnonzero(batch.column("query").to_numpy(zero_copy_only=False))
+            if len(asks):
+                cell = batch.column("cell").to_numpy()[asks]
+                own = group_of[cell] + (_mixed(rid[asks]) % parts[cell].astype(np.uint64)).astype(np.int64)
+                for g in np.unique(own).tolist():
+                    rows = asks[own == g]
+                    for t in range(int(tasks.value[g])):
+                        yield _block(g, t, 0, rid[rows], ids[rows], v[rows])
 
     return run
 
 
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (grp, task, kind, rid, id, v) as blocks, those of a batch that go together in one."""
+    for whole in batches:
+        keys = np.stack([whole.column(c).to_numpy() for c in ("grp", "task", "kind")], axis=1).astype(np.int64)
+        _, place = np.unique(keys, axis=0, return_inverse=True)
+        for p in range(int(place.max(initial=-1)) + 1):
+            part = whole.take(pa.array(np.flatnonzero(place.reshape(-1) == p)))
+            grp, task, kind = (part.column(c)[0].as_py() for c in ("grp", "task", "kind"))
+            v = _matrix(part.column("v"), len(part.column("v")[0].as_py()) // 8)
+            yield _block(grp, task, kind, part.column("rid").to_numpy(), part.column("id").to_numpy(), v)
+
+
 def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Columns of the k best by row: larger score, then smaller id."""
     n = score.shape[1]
@@ -189,7 +247,7 @@ def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.array([sorted(range(n), key=lambda j, i=i: (-int(score[i, j]), rank[j]))[:k] for i in range(len(score))], np.int64)
 
 
-def _solve(length: int, k: int):
+def _solve(k: int):
     names = ["query_rid", "query_id", "vec_id", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +274,7 @@ def _solve(length: int, k: int):
                         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names)
                     now, asked, found = key, [], []
                 rid, ids = np.frombuffer(get("rids"), np.int64), np.frombuffer(get("ids"), np.int64)
-                v = np.frombuffer(get("v"), np.float64).reshape(len(rid), length)
+                v = _opened(get("width"), get("v"), len(rid))
                 if get("kind") == 0:
                     asked.append((rid, ids, v))
                     continue
@@ -269,8 +327,8 @@ def _chain(pivots: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarra
     return group_of, parts
 
 
-def _join(vectors: DataFrame, length: int, k: int) -> DataFrame:
-    """Partial results of vectors(rid, id, query, v) of one length."""
+def _blocks(vectors: DataFrame, length: int, k: int) -> DataFrame:
+    """Blocks of vectors(rid, id, query, v) of one length and of their queries."""
     spark = vectors.sparkSession
     send = spark.sparkContext.broadcast
     total, queries = vectors.agg(F.count("*"), F.count_if("query")).first()
@@ -292,10 +350,22 @@ def _join(vectors: DataFrame, length: int, k: int) -> DataFrame:
     bound = bound - np.where(np.isfinite(bound), _slack(bound), 0)
     group_of, parts = _chain(pivots, counts, max(GROUP, -(-queries // GROUPS)))
     plan = send((group_of, parts, radius + _slack(radius), bound))
-    tasks = max(1, -(-total // TASK_ROWS))
-    blocks = cells.mapInArrow(_send(sent, plan, tasks, length), "grp int, task int, kind int, rids binary, ids binary, v binary")
-    dealt = blocks.repartition("grp", "task").sortWithinPartitions("grp", "task", "kind")
-    return dealt.mapInArrow(_solve(length, k), "query_rid long, query_id long, vec_id long, score long")
+    needs = cells.mapInArrow(_count(sent, plan, length), "grp long, n long").groupBy("grp").agg(F.sum("n").alias("n"))
+    tasks = np.ones(int((group_of + parts).max(initial=0)) + 1, np.int64)
+    for r in needs.collect():  # a row by group
+        tasks[r["grp"]] = max(1, -(-r["n"] // TASK_ROWS))
+    return cells.mapInArrow(_send(sent, plan, send(tasks), length), _BLOCK)
+
+
+def _rest(table: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Blocks of all rows whose length is in sizes(length, n, asks), without pivots."""
+    at = lambda n: F.pmod(F.xxhash64("rid"), n).cast("int")
+    rows = table.join(sizes, "length").withColumns({"parts": F.ceil(F.col("asks") / GROUP), "tasks": F.ceil(F.col("n") / TASK_ROWS)})
+    grp = (F.col("length").cast("long") * (1 << 32) + F.col("part")).alias("grp")
+    up_to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
+    data = rows.withColumn("part", up_to("parts")).select(grp, at(F.col("tasks")).alias("task"), F.lit(1).alias("kind"), "rid", "id", "v")
+    asks = rows.filter("query").withColumn("part", at(F.col("parts"))).withColumn("task", up_to("tasks")).select(grp, "task", F.lit(0).alias("kind"), "rid", "id", "v")
+    return data.unionByName(asks).mapInArrow(_each, _BLOCK)
 
 
 def top_k(
@@ -309,12 +379,14 @@ def top_k(
     named = clean.withColumnRenamed("id", id_col)
     marked = named.withColumn("query", F.coalesce(is_query, F.lit(False))).withColumnRenamed(id_col, "id")
     table = stage(marked.withColumn("rid", F.monotonically_increasing_id()), "vectors")
-    lengths = sorted(r[0] for r in bounded_collect(table.filter("query").select("length").distinct(), LENGTHS, "vector lengths"))
-    empty = embeddings.sparkSession.createDataFrame([], "query_rid long, query_id long, vec_id long, score long")
-    found = None
-    for n in lengths:
-        own = _join(table.filter(F.col("length") == n).select("rid", "id", "query", "v"), n, k)
-        found = own if found is None else found.unionByName(own)
+    sizes = stage(table.groupBy("length").agg(F.count("*").alias("n"), F.count_if("query").alias("asks")).filter("asks > 0"), "lengths")
+    most = sizes.orderBy(F.desc("n"), "length").limit(LENGTHS)
+    blocks = [_blocks(table.filter(F.col("length") == r["length"]).select("rid", "id", "query", "v"), r["length"], k) for r in most.collect()]
+    blocks.append(_rest(table, sizes.join(F.broadcast(most.select("length")), "length", "left_anti")))
+    found = [
+        b.repartition("grp", "task").sortWithinPartitions("grp", "task", "kind").mapInArrow(_solve(k), "query_rid long, query_id long, vec_id long, score long")
+        for b in blocks
+    ]
     order = Window.partitionBy("query_rid").orderBy(F.desc("score"), "vec_id")
-    ranked = (empty if found is None else found).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    ranked = reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

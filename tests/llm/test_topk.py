@@ -50,3 +50,12 @@ def test_odd_rows(spark):
     assert run(spark, rows) == brute(rows)
     assert run(spark, [(50, [1.0])]) == []
     assert run(spark, []) == []
+
+
+def test_many_lengths_and_large_numbers(spark, monkeypatch):
+    monkeypatch.setattr(topk, "LENGTHS", 2)
+    monkeypatch.setattr(topk, "GROUP", 2)
+    monkeypatch.setattr(topk, "TASK_ROWS", 7)
+    rng = random.Random(6)
+    rows = [(50 * i if i % 3 == 0 else i, [rng.uniform(-1, 1) * rng.choice([1, 1e7, 1e12]) for _ in range(n)]) for i, n in enumerate([0, 1, 2, 3, 4, 5, 6, 7] * 30)]
+    assert run(spark, rows) == brute(rows)
