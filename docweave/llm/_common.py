@@ -110,7 +110,7 @@ def sent_if_few(df: DataFrame, most: int = SENT_ROWS) -> DataFrame:
     """A written table of narrow rows, marked to be sent to every executor if
     it has at most ``most`` rows, so that what it is joined with stays where it
     is. A larger one is joined by shuffling."""
-    return F.broadcast(df) if df.count() <= most else df
+    return F.broadcast(df) if df.count() <= most else df.hint("merge")
 
 
 def words(column):

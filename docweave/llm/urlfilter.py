@@ -10,9 +10,11 @@ and the longest rule wins. Without a rule the verdict is the method's: a URL
 that is not listed is allowed.
 
 The filter is sized from the number of rules and never above ``MAX_WORDS``
-words, so what is sent to executors is bounded; with more rules than that it
-lets more through and the join stays exact. Distinct URLs only are joined
-back, and only those with a possible hit.
+words, so what is sent to executors is bounded; with more than half a million
+rules it lets more through and the join stays exact. Distinct URLs only are
+joined back, and only those with a possible hit: sent to all executors while
+they are few, by shuffling beyond that. Of more than ``MAX_LENGTHS`` lengths of
+rule paths, prefixes of every length are tried.
 
 Defined results: null URLs and those without ``://`` have empty host and path
 and no rule; rows that repeat are judged alike; of equally long rules the one
@@ -28,12 +30,11 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm._common import bounded_collect, stage
+from docweave.llm._common import sent_if_few, stage
 
 PROBES = 4
 BITS_PER_RULE = 16
 MAX_WORDS = 1 << 17
-LITERAL_WORDS = 256
 #: Different lengths of rule paths; a URL gives a key for each that fits.
 MAX_LENGTHS = 4096
 OUTPUT = ("host", "path", "rule", "verdict")
@@ -79,27 +80,23 @@ def build_filter(rules: DataFrame) -> list[int]:
 
 
 def _lookup(words: list[int]):
-    """A column function from block to word. Few words are a literal; more are
-    one binary value, so that the expression stays small."""
-    if len(words) <= LITERAL_WORDS:
-        literal = F.array(*[F.lit(w).cast("long") for w in words])
-        return lambda block: F.get(literal, block)
-    binary = F.lit(b"".join((w & (2**64 - 1)).to_bytes(8, "big") for w in words))
-    return lambda block: F.conv(F.hex(F.substring(binary, block * 8 + 1, F.lit(8))), 16, -10).cast("long")
+    """A column function from block to word. The words are one literal that
+    the optimizer makes of a string, so the expression stays small."""
+    literal = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
+    return lambda block: F.get(literal, block)
 
 
 def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow") -> DataFrame:
     """``pages`` with host, path, rule and verdict."""
-    lengths = [
-        r[0] for r in bounded_collect(rules.select(F.length("rule_path")).distinct(), MAX_LENGTHS, "lengths of rule paths")
-    ]
+    found = [r[0] for r in rules.select(F.length("rule_path")).distinct().limit(MAX_LENGTHS + 1).collect()]
     words = build_filter(rules)
     url = F.col(url_col)
     urls = pages.select(url.alias("__url")).filter(F.col("__url").contains("://"))
     parsed = urls.select("__url", host_of(F.col("__url")).alias("h"), path_of(F.col("__url")).alias("p"))
     parts = F.split("h", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    fitting = F.filter(F.array(*[F.lit(n) for n in sorted(lengths)]).cast("array<int>"), lambda n: n <= F.length("p"))
+    lengths = F.array(*[F.lit(n) for n in sorted(found)]).cast("array<int>") if len(found) <= MAX_LENGTHS else F.sequence(F.lit(0), F.length("p"))
+    fitting = F.filter(lengths, lambda n: n <= F.length("p"))
     prefixes = F.transform(fitting, lambda n: F.substring(F.col("p"), F.lit(1), n))
     keys = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda x: F.struct(s.alias("host"), x.alias("path")))))
     word = _lookup(words)
@@ -118,7 +115,7 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str
         hits.join(listed, ["rule_host", "rule_path"])
         .groupBy("__url").agg(F.max_by(F.struct(rule.alias("rule"), F.col("rule_verdict").alias("verdict")), rank).alias("__best"))
     )
-    best = stage(best, "verdicts")
+    best = sent_if_few(stage(best, "verdicts"))
     joined = pages.withColumn("__u", url).join(best, F.col("__u") == F.col("__url"), "left")
     return joined.select(
         *[F.col(c) for c in pages.columns if c not in OUTPUT],

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from docweave.llm import queries, urlfilter
+from docweave.llm import _common, queries, urlfilter
 
 
 def brute(url, rules):
@@ -44,9 +44,11 @@ def test_rules_of_the_query(spark):
     assert urlfilter.judge(pages.limit(0), urlfilter.rule_table(spark, rules)).count() == 0
 
 
-@pytest.mark.parametrize("literal", [1, 100_000])
-def test_many_rules(spark, literal, monkeypatch):
-    monkeypatch.setattr(urlfilter, "LITERAL_WORDS", literal)
+@pytest.mark.parametrize(("words", "lengths", "sent"), [(1 << 17, 4096, 400_000), (1, 2, 1)])
+def test_many_rules(spark, words, lengths, sent, monkeypatch):
+    monkeypatch.setattr(urlfilter, "MAX_WORDS", words)
+    monkeypatch.setattr(urlfilter, "MAX_LENGTHS", lengths)
+    monkeypatch.setattr(urlfilter, "sent_if_few", lambda df: _common.sent_if_few(df, sent))
     rng = random.Random(2)
     hosts = ["a.com", "b.a.com", "c.b.a.com", "net", "x.net", "y"]
     paths = ["", "/", "/a", "/a/", "/ab/c", "/é"]
