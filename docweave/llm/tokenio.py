@@ -21,7 +21,8 @@ tokenizers library. Texts with ``<|`` (the start of an added token) go to the
 library whole.
 
 Defined results: null text counts as empty and has the end id only; documents
-of one id stand in the order of their ids' bytes; null ids come first; an empty
+of one id stand in the order of their ids' bytes, those that share the first
+``PREFIX`` bytes in the order of a hash; null ids come first; an empty
 table gives empty files.
 """
 
@@ -43,6 +44,7 @@ from docweave.llm._common import lean, ragged, raw_text, shared_dir, slices, sta
 
 MAX_BITS = 18
 BLOCK = 1 << 18
+PREFIX = 16
 CHECKPOINT = 128
 SLICE = 8 << 20
 #: Fragments that a worker remembers; the table starts anew beyond that.
@@ -370,11 +372,14 @@ def write_ids(tokens: DataFrame, path: str) -> None:
     ids, n = counted.column("id").to_numpy(), counted.column("n").to_numpy()
     counts = np.zeros(int(ids.max()) + 1 if len(ids) else 1, np.int64)
     counts[ids] = n
-    lengths = code_lengths(counts)
+    # more ids than MAX_BITS can tell apart get a longer limit
+    lengths = code_lengths(counts, max(MAX_BITS, len(ids).bit_length() + 1))
     code = spark.sparkContext.broadcast(Code(lengths))
     coded = [(int(i), int(lengths[i])) for i in np.flatnonzero(lengths)]
     spark.createDataFrame(coded, "id int, bits int").coalesce(1).write.parquet(f"{path}/code")
-    ordered = tokens.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
+    # many documents of one id, and many copies of one document, may go to several partitions
+    keyed = tokens.withColumns({"start": F.substring("ids", 1, PREFIX), "tie": F.xxhash64("ids"), "copy": F.monotonically_increasing_id()})
+    ordered = keyed.repartitionByRange("doc_id", "start", "tie", "copy").sortWithinPartitions("doc_id", "start", "tie").drop("start", "tie", "copy")
     ordered.mapInArrow(lean(_write_blocks(code)), BLOCKS).write.parquet(f"{path}/blocks")
 
 
@@ -412,9 +417,8 @@ def read_ids(spark: SparkSession, path: str, blocks: DataFrame | None = None) ->
         starts.append((part, total))
         total += n
     rows = blocks.mapInArrow(lean(_read_blocks(code)), "part long, inside long, doc_id long, n_tokens long, ids binary")
-    keys, values = [F.array(*[F.lit(s[i]).cast("long") for s in starts]).cast("array<long>") for i in (0, 1)]
-    ahead = F.element_at(F.map_from_arrays(keys, values), F.col("part"))
-    return rows.select("doc_id", (ahead + F.col("inside")).alias("start"), "n_tokens", "ids")
+    ahead = F.broadcast(spark.createDataFrame(starts, "part long, ahead long"))
+    return rows.join(ahead, "part").select("doc_id", (F.col("ahead") + F.col("inside")).alias("start"), "n_tokens", "ids")
 
 
 def data_set_path(spark: SparkSession, name: str) -> str:
