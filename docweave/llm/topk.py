@@ -54,6 +54,7 @@ PACK = 4096
 TASK_ROWS = 1 << 17
 LENGTHS = 16
 _EXACT = float(1 << 53)
+_LARGEST = np.finfo(np.float64).max
 
 
 def _clean(scale: float):
@@ -68,7 +69,7 @@ def _clean(scale: float):
             ends = np.cumsum(lengths)
             ok &= bad[ends] == bad[ends - lengths]
             with np.errstate(invalid="ignore"):
-                scaled = np.floor(values * scale)
+                scaled = np.clip(np.floor(values * scale), -_LARGEST, _LARGEST)
             ids = batch.column("id")
             rows = [(ids[i].as_py(), int(lengths[i]), scaled[ends[i] - lengths[i] : ends[i]].tobytes()) for i in np.flatnonzero(ok)]
             yield pa.RecordBatch.from_arrays(
