@@ -2,14 +2,16 @@
 
 ``stage`` cuts lineage by writing a table to the folder that
 ``spark.checkpoint.dir`` names, so a lost executor costs a reread and not a
-recomputation. Where the session names no folder (tests), one is made once
-and set on the context.
+recomputation. Where the session names no folder, one is made once and set on
+the context, in local mode only: on a cluster that is an error. Tables go when
+the session ends, those of a loop as soon as the next round stands.
 """
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 8 << 20
 #: Rows of a few numbers that may be sent to every executor: about 20 MB.
 SENT_ROWS = 400_000
+_made: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,19 +34,47 @@ def shared_dir(spark: SparkSession) -> str:
     if not root:
         given = spark.sparkContext.getCheckpointDir()
         if not given:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="docweave-"))
             given = spark.sparkContext.getCheckpointDir()
         root = given
     return root.rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), there
+
+
+def own_dir(spark: SparkSession, kind: str) -> str:
+    """A folder of this application in the shared one, which goes with it."""
+    path = f"{shared_dir(spark)}/{kind}/{spark.sparkContext.applicationId}"
+    if path not in _made:
+        system, there = _file_system(spark, path)
+        system.mkdirs(there)
+        system.deleteOnExit(there)
+        _made.add(path)
+    return path
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark, 'tables')}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._staged = path
+    return out
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for df in tables:
+        system, there = _file_system(df.sparkSession, df._staged)
+        system.delete(there, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

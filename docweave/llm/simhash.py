@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm._common import lean, sent_if_few, slices, stage
+from docweave.llm._common import lean, sent_if_few, slices, stage, unstage
 
 SHINGLE = 4
 SEED = 42
@@ -262,12 +262,13 @@ def components(edges: DataFrame) -> DataFrame:
     while seen[0]:
         # large star: what is above a node moves to the least that the node knows
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = stage(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("b"), F.least("a", "m").alias("m")), "least")
-        large = stage(now.join(least, "b").select("a", F.col("m").alias("b")).filter("a <> b").distinct(), "large")
+        above = stage(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("b"), F.least("a", "m").alias("m")), "least")
+        large = stage(now.join(above, "b").select("a", F.col("m").alias("b")).filter("a <> b").distinct(), "large")
         # small star: what is below a node moves to the least below it
         least = stage(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         moved = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
-        now = stage(moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "small")
+        old, now = now, stage(moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "small")
+        unstage(old, above, large, least)
         was, seen = seen, mark(now)
         if was == seen:
             break

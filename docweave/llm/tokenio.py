@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm._common import lean, ragged, raw_text, shared_dir, slices, stage
+from docweave.llm._common import lean, own_dir, ragged, raw_text, slices, stage
 
 MAX_BITS = 18
 BLOCK = 1 << 18
@@ -422,4 +422,5 @@ def read_ids(spark: SparkSession, path: str, blocks: DataFrame | None = None) ->
 
 
 def data_set_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/ids/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    """A new folder for a data set; it goes when the session ends."""
+    return f"{own_dir(spark, 'ids')}/{name}-{uuid.uuid4().hex}"
