@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.model import EDGE_TYPES, NODE_TYPES
-from docweave.operators import graph, traverse
+from docweave.operators import graph, index, traverse
+from docweave.plans.materialize import settled
+from docweave.sources import git
+from docweave.sources.files import GraphStore, read_tree
 
 # Defaults and largest values of requests.
 NODE_LIMIT, DEPTH, PATH_DEPTH, SEARCH_LIMIT = (300, 2000), (1, 5), (6, 10), (50, 200)
@@ -37,6 +40,19 @@ def bounded(value, default: int, largest: int, smallest: int = 1) -> int:
     return number
 
 
+def index_repository(spark: SparkSession, root: str, store: GraphStore) -> index.Indexed:
+    """Index the tree at ``root`` into the store; other repositories in it stay."""
+    repository = graph.repository_key(spark, root)
+    done = index.index(spark, read_tree(spark, root), store.read("files"), store.read("nodes"), store.read("edges"), repository)
+    # what the last version tells has to be read before the next one is current
+    kept = {name: settled(getattr(done, name)) for name in ("status", "dangling", "unresolved_imports", "unresolved_annotations")}
+    repositories = graph.mark_indexed(
+        graph.upsert_repository(store.read("repositories"), root), F.lit(repository), F.lit(git.current_revision(root)), F.current_timestamp()
+    )
+    store.write(repositories=repositories, files=done.files, nodes=done.nodes, edges=done.edges)
+    return replace(done, files=store.read("files"), nodes=store.read("nodes"), edges=store.read("edges"), **kept)
+
+
 @dataclass
 class Api:
     """Queries over one graph."""
@@ -46,6 +62,10 @@ class Api:
     nodes: DataFrame
     edges: DataFrame
 
+    @classmethod
+    def open(cls, store: GraphStore) -> Api:
+        return cls(*(store.read(t) for t in ("repositories", "files", "nodes", "edges")))
+
     def repositories(self) -> DataFrame:
         return graph.repository_counts(self.repositories_table, self.files, self.nodes, self.edges).orderBy("id")
 
@@ -64,6 +84,10 @@ class Api:
         own = F.col("repository_id") == repository_id
         return self.nodes.filter(own), self.edges.filter(own)
 
+    def files_of(self, repository_id: int) -> DataFrame:
+        self._of(repository_id)
+        return graph.list_files(self.files, repository_id)
+
     def _node(self, nodes: DataFrame, node_id: int) -> None:
         if graph.node_by_id(nodes, node_id).isEmpty():
             raise NotFound(f"node {node_id}")

@@ -72,6 +72,11 @@ def section_id(path: Column, slug: Column) -> Column:
     return F.concat(path, F.lit("#"), slug, F.lit(":documentation_section"))
 
 
+def repository_id(root: Column) -> Column:
+    """A repository's number follows from its root."""
+    return F.xxhash64(root)
+
+
 def node_key(repository: Column, stable_id: Column) -> Column:
     """A node's number follows from its identity, so that it survives rewrites."""
     return F.xxhash64(repository, stable_id)

@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docweave.functions.text import ascii_lower
-from docweave.model import edge_key, node_key
+from docweave.model import edge_key, node_key, repository_id
 
 EDGE_IDENTITY = ("repository_id", "source_id", "target_id", "type", "evidence_type")
 
@@ -51,10 +51,20 @@ def upsert_repository(repositories: DataFrame, root: str) -> DataFrame:
     """The repositories with ``root`` among them."""
     new = repositories.sparkSession.createDataFrame([(root,)], "repository_root string")
     missing = new.join(repositories, "repository_root", "left_anti")
-    row = missing.select(F.xxhash64("repository_root").alias("id"), "repository_root")
+    row = missing.select(repository_id(F.col("repository_root")).alias("id"), "repository_root")
     return repositories.unionByName(row, allowMissingColumns=True)
 
 
+def repository_key(spark: SparkSession, root: str) -> int:
+    """The number of the repository at ``root``, as upsert_repository() gives it."""
+    return spark.range(1).select(repository_id(F.lit(root))).first()[0]
+
+
+def list_files(files: DataFrame, repository: int) -> DataFrame:
+    """(path, language, content_hash) of one repository's files."""
+    return files.filter(F.col("repository_id") == repository).select("path", "language", "content_hash").orderBy("path")
+
+
 def mark_indexed(repositories: DataFrame, repository: Column, revision: Column, at: Column) -> DataFrame:
     hit = F.col("id") == repository
     return repositories.withColumns(
@@ -105,13 +115,14 @@ def upsert_edges(edges: DataFrame, nodes: DataFrame, batch: DataFrame, order: st
 
 
 def dangling_references(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> DataFrame:
-    """Edges with exactly one end in the files that go: gone(file_path)."""
-    paths = gone.select(F.col("file_path")).distinct().withColumn("__gone", F.lit(True))
-    ends = nodes.join(paths, "file_path", "left").select("node_id", "stable_id", F.coalesce("__gone", F.lit(False)).alias("g"))
-    source = ends.select(F.col("node_id").alias("source_id"), F.col("stable_id").alias("source_stable_id"), F.col("g").alias("source_gone"))
-    target = ends.select(F.col("node_id").alias("target_id"), F.col("stable_id").alias("target_stable_id"), F.col("g").alias("target_gone"))
-    both = edges.join(source, "source_id").join(target, "target_id").filter("source_gone <> target_gone")
-    return both.select("source_stable_id", "target_stable_id", F.col("type").alias("edge_type"))
+    """Edges between two files of which one or both go: gone(file_path). Files
+    go one by one, and the first to go of an edge's two leaves it dangling."""
+    paths = gone.select("file_path").distinct().withColumn("__gone", F.lit(True))
+    ends = nodes.join(paths, "file_path", "left").select("node_id", "stable_id", F.col("file_path").alias("f"), F.coalesce("__gone", F.lit(False)).alias("g"))
+    end = lambda name: ends.select(*[F.col(c).alias(f"{name}_{c}") for c in ("stable_id", "f", "g")], F.col("node_id").alias(f"{name}_id"))
+    both = edges.join(end("source"), "source_id").join(end("target"), "target_id")
+    crossing = both.filter((F.col("source_g") | F.col("target_g")) & ~F.col("source_f").eqNullSafe(F.col("target_f")))
+    return crossing.select("source_stable_id", "target_stable_id", F.col("type").alias("edge_type"))
 
 
 def delete_nodes_of_files(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave import model
-from docweave.functions.text import digest, slice_lines
+from docweave.functions.text import digest, doc_comment, slice_lines
 from docweave.operators import changes, graph, resolve
 from docweave.parsing import markdown, typescript
 from docweave.plans.materialize import settled
@@ -16,8 +16,9 @@ from docweave.plans.materialize import settled
 
 @dataclass
 class Indexed:
-    """What an indexing run found; every field is lazy."""
+    """What an indexing run found; every table is lazy."""
 
+    repository: int
     files: DataFrame
     nodes: DataFrame
     edges: DataFrame
@@ -26,6 +27,20 @@ class Indexed:
     unresolved_imports: DataFrame
     unresolved_annotations: DataFrame
 
+    def summary(self) -> DataFrame:
+        """One row of counts: files by status, the repository's nodes and edges,
+        and what stayed open."""
+        kinds = {"files_added": "added", "files_modified": "modified", "files_removed": "removed", "files_unchanged": "unchanged"}
+        out = self.status.agg(*[F.count_if(F.col("status") == s).alias(n) for n, s in kinds.items()]).withColumn("__k", F.lit(1))
+        own = F.col("repository_id") == self.repository
+        counted = {
+            "total_nodes": self.nodes.filter(own), "total_edges": self.edges.filter(own), "unresolved_imports": self.unresolved_imports,
+            "unresolved_annotations": self.unresolved_annotations, "dangling_references": self.dangling,
+        }
+        for name, rows in counted.items():
+            out = out.join(rows.agg(F.count("*").alias(name)).withColumn("__k", F.lit(1)), "__k")  # tables of one row
+        return out.drop("__k")
+
 
 def code_nodes(parsed: DataFrame, repository: int) -> tuple[DataFrame, DataFrame]:
     """(nodes, CONTAINS edges) of parsed code: files, symbols, and what holds them."""
@@ -36,7 +51,7 @@ def code_nodes(parsed: DataFrame, repository: int) -> tuple[DataFrame, DataFrame
         F.col("path").alias("file_path"), none.cast("int").alias("start_line"), none.cast("int").alias("end_line"), none.cast("string").alias("metadata"), F.lit(0).alias("ordinal"),
     )
     symbols = parsed.select("path", F.posexplode("symbols").alias("ordinal", "s"))
-    metadata = F.to_json(F.struct(F.col("s.exported").alias("exported"), F.col("s.is_default_export").alias("isDefaultExport"), F.col("s.doc").alias("doc")))
+    metadata = F.to_json(F.struct(F.col("s.exported").alias("exported"), F.col("s.is_default_export").alias("isDefaultExport"), F.when(F.col("s.doc").isNotNull(), doc_comment(F.col("s.doc"))).alias("doc")))
     symbol_node = symbols.select(
         repo, F.col("s.id").alias("stable_id"), F.col("s.kind").alias("type"), F.col("s.name").alias("name"), F.col("s.qualified_name").alias("qualified_name"),
         F.col("path").alias("file_path"), F.col("s.location.startLine").alias("start_line"), F.col("s.location.endLine").alias("end_line"), metadata.alias("metadata"),
@@ -105,17 +120,22 @@ def cross_edges(code: DataFrame, docs: DataFrame, files: DataFrame, nodes: DataF
 
 
 def index(spark: SparkSession, scan: DataFrame, files: DataFrame, nodes: DataFrame, edges: DataFrame, repository: int = 1, prefix: str = "docweave", strict_incremental: bool = False) -> Indexed:
-    """The next graph from scan(path, language, content, content_hash) and the
-    graph before. Nodes of unchanged files stay as they are. Edges are made
-    anew from the whole snapshot; with ``strict_incremental`` only those of
-    changed files and of documents that refer to them are, so an edge into a
-    changed file from an unchanged one is lost, and reported as dangling."""
+    """The next graph from scan(path, language, content, content_hash) of one
+    repository and the graph before, whose other repositories stay as they are.
+    Nodes of unchanged files stay too. Edges are made anew from the whole
+    snapshot; with ``strict_incremental`` only those of changed files and of
+    documents that refer to them are, so an edge into a changed file from an
+    unchanged one is lost, and reported as dangling."""
     at = F.current_timestamp()
-    status = changes.diff_manifest(scan, files)
+    ours = F.col("repository_id") == repository
+    others = [df.filter(~ours) for df in (files, nodes, edges)]
+    files, nodes, edges = (df.filter(ours) for df in (files, nodes, edges))
+    # small tables that most of what follows reads
+    status = settled(changes.diff_manifest(scan, files))
     touched = status.filter("status <> 'unchanged'").select(F.col("path").alias("file_path"))
-    docs_hit = resolve.affected_documents(nodes, edges, touched)
-    again = touched.unionByName(docs_hit).distinct()
-    dangling = graph.dangling_references(nodes, edges, touched)
+    reparsed = status.filter("status in ('added', 'modified')").select(F.col("path").alias("file_path"))
+    again = settled(touched.unionByName(resolve.affected_documents(nodes, edges, reparsed)).distinct())
+    dangling = graph.dangling_references(nodes, edges, again)
     kept_nodes, kept_edges = graph.delete_nodes_of_files(nodes, edges, again)
 
     reread = scan.join(again.select(F.col("file_path").alias("path")), "path", "left_semi")
@@ -127,14 +147,15 @@ def index(spark: SparkSession, scan: DataFrame, files: DataFrame, nodes: DataFra
     new_docs, doc_holds = document_nodes(docs, repository)
     fresh = new_code.unionByName(new_docs).join(again, "file_path", "left_semi")
     batch = fresh.withColumn("content_hash", F.lit(None).cast("string")).select(*[c for c in nodes.columns if c != "node_id"], "ordinal")
-    next_nodes = graph.upsert_nodes(kept_nodes, batch, "ordinal")
+    next_nodes = settled(graph.upsert_nodes(kept_nodes, batch, "ordinal"))
 
     next_files = scan.select(F.lit(repository).cast("long").alias("repository_id"), "path", "language", "content_hash", at.alias("last_indexed_at"))
     cross, lost_imports, lost_notes = cross_edges(code, docs, scan, next_nodes, repository)
     made = code_holds.unionByName(doc_holds).unionByName(cross).withColumns({"created_at": at, "updated_at": at, "ordinal": F.lit(0)})
     old = kept_edges if strict_incremental else kept_edges.limit(0)
     next_edges = graph.upsert_edges(old, next_nodes, made, "ordinal")
-    return Indexed(next_files, next_nodes, next_edges, status, dangling, lost_imports, lost_notes)
+    whole = [other.unionByName(own.select(*other.columns)) for other, own in zip(others, (next_files, next_nodes, next_edges), strict=True)]
+    return Indexed(repository, *whole, status, dangling, lost_imports, lost_notes)
 
 
 def symbol_rows(parsed: DataFrame, contents: DataFrame) -> DataFrame:

@@ -7,11 +7,15 @@ message>; a patch is valid if none is an error.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.functions.text import annotation, comments, deletion_percent, dirname, is_external, links, odd_fences, safe_path, splice_lines
 from docweave.operators.resolve import resolve_annotations
+from docweave.parsing import markdown
+from docweave.plans.materialize import settled
 
 ISSUE = "array<struct<check:string,severity:string,message:string>>"
 
@@ -25,15 +29,22 @@ def present(*issues: Column) -> Column:
     return F.filter(F.array(*issues), lambda x: x.isNotNull()).cast(ISSUE)
 
 
+def inside(path: Column) -> Column:
+    """A path as it comes to below the repository; null if it leads out of it."""
+    return F.substring(safe_path(F.lit("/r"), F.concat(F.lit("./"), path)), F.lit(4), F.lit(2**31 - 1))
+
+
 def locate_sections(patches: DataFrame, documents: DataFrame, sections: DataFrame) -> DataFrame:
     """Patches with content, and start_line, end_line and current_text of the
     section now: the whole document for a null heading, else the first section
     with the heading. sections(document_path, heading, start_line, end_line,
-    content)."""
-    first = sections.filter("heading is not null").groupBy("document_path", F.col("heading").alias("section_heading")).agg(
+    content). A path is looked up as it comes to below the repository; one that
+    leads out of it finds nothing."""
+    first = sections.filter("heading is not null").groupBy(F.col("document_path").alias("__path"), F.col("heading").alias("section_heading")).agg(
         F.min_by(F.struct("start_line", "end_line", "content"), "start_line").alias("s")
     )
-    joined = patches.join(documents.select("document_path", "content"), "document_path", "left").join(first, ["document_path", "section_heading"], "left")
+    texts = documents.select(F.col("document_path").alias("__path"), "content")
+    joined = patches.withColumn("__path", inside(F.col("document_path"))).join(texts, "__path", "left").join(first, ["__path", "section_heading"], "left")
     whole = F.col("section_heading").isNull() & F.col("content").isNotNull()
     lines = F.size(F.split("content", "\n", -1))
     return joined.select(
@@ -141,18 +152,20 @@ def validate(
         accidental_deletion(F.col("original_content"), F.col("proposed_content")),
     ]
     out = located.withColumn("issues", F.concat(*parts))
+    links = F.array(F.lit("broken-link"), F.lit("invalid-anchor"))
     if slugs is not None and files is not None:
+        # without a section there is no resulting document to look into
+        found = F.col("start_line").isNotNull()
         out = links_and_anchors(out, key, slugs, files, root)
-        out = out.withColumn("issues", F.concat("issues", "link_issues")).drop("link_issues")
-    else:
-        skipped += ["broken-link", "invalid-anchor"]
+        out = out.withColumn("issues", F.when(found, F.concat("issues", "link_issues")).otherwise(F.col("issues"))).drop("link_issues")
+        links = F.when(found, F.array().cast("array<string>")).otherwise(links)
     if nodes is not None:
         out = annotation_targets(out, key, nodes, prefix)
         out = out.withColumn("issues", F.concat("issues", "target_issues")).drop("target_issues")
     else:
         skipped.append("annotation-target-resolution")
     valid = ~F.exists("issues", lambda i: i["severity"] == "error")
-    return out.withColumns({"valid": valid, "checks_not_performed": F.array(*[F.lit(s) for s in skipped]).cast("array<string>")})
+    return out.withColumns({"valid": valid, "checks_not_performed": F.concat(links, F.array(*[F.lit(s) for s in skipped]).cast("array<string>"))})
 
 
 def resulting_document(located: DataFrame) -> Column:
@@ -160,8 +173,41 @@ def resulting_document(located: DataFrame) -> Column:
 
 
 def apply(documents: DataFrame, validated: DataFrame) -> DataFrame:
-    """The next snapshot of documents(document_path, content): one valid patch
-    for each document spliced in, all others as they were."""
-    good = validated.filter("valid").select("document_path", resulting_document(validated).alias("__new"))
-    joined = documents.join(good, "document_path", "left")
+    """The next snapshot of documents(document_path, content): of each document
+    the first valid patch (by its place, then its content) spliced in, all
+    others as they were. apply_all() takes several patches of a document."""
+    good = validated.filter("valid").withColumn("__new", resulting_document(validated))
+    one = good.groupBy(inside(F.col("document_path")).alias("document_path")).agg(F.min_by("__new", F.struct("start_line", "proposed_content")).alias("__new"))
+    joined = documents.join(one, "document_path", "left")
     return joined.withColumn("content", F.coalesce("__new", "content")).drop("__new")
+
+
+def sections_of(documents: DataFrame) -> DataFrame:
+    """sections(document_path, heading, start_line, end_line, content) of documents(document_path, content)."""
+    parsed = markdown.parse_files(documents.select(F.col("document_path").alias("path"), "content"))
+    return parsed.select(F.col("path").alias("document_path"), F.explode("sections").alias("s")).select("document_path", "s.heading", "s.start_line", "s.end_line", "s.content")
+
+
+def check_patches(patches: DataFrame, key: str, documents: DataFrame, prefix: str, files: DataFrame, nodes: DataFrame | None = None, root: str = "/r") -> DataFrame:
+    """validate() with sections of the documents as they are now, and anchors of
+    the documents as the patches would leave them. files(path)."""
+    sections = settled(sections_of(documents.join(patches.select(inside(F.col("document_path")).alias("document_path")).distinct(), "document_path", "left_semi")))
+    located = locate_sections(patches, documents, sections).filter("start_line is not null")
+    after = located.select(F.col(key).cast("string").alias("path"), resulting_document(located).alias("content"))
+    heads = markdown.parse_files(after, prefix).select("path", F.explode("headings").alias("h"))
+    slugs = heads.select(F.col("path").cast(dict(patches.dtypes)[key]).alias(key), "h.slug")
+    return validate(patches, key, documents, sections, prefix, slugs, files, root, nodes)
+
+
+def apply_all(documents: DataFrame, patches: DataFrame, key: str, prefix: str, files: DataFrame, nodes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(documents, outcomes): patches applied by ``key``, one of each document
+    at a time, each checked against what those before it left. outcomes has the
+    validated columns; ``valid`` says whether the patch was applied."""
+    turn = F.row_number().over(Window.partitionBy(F.coalesce(inside(F.col("document_path")), F.col("document_path"))).orderBy(key))
+    pending = settled(patches.withColumn("__turn", turn))
+    rounds = pending.agg(F.max("__turn")).first()[0] or 0
+    done = []
+    for n in range(1, rounds + 1):
+        done.append(settled(check_patches(pending.filter(F.col("__turn") == n).drop("__turn"), key, documents, prefix, files, nodes)))
+        documents = settled(apply(documents, done[-1]))
+    return documents, reduce(DataFrame.unionByName, done) if done else check_patches(patches, key, documents, prefix, files, nodes)

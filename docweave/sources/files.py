@@ -63,7 +63,7 @@ def read_tree(spark: SparkSession, root: str) -> DataFrame:
     base = os.path.abspath(root)
     suffixes = "{" + ",".join("*" + s for s in LANGUAGE_BY_SUFFIX) + "}"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", suffixes).load(base)
-    relative = F.expr(f"substring(path, locate('{base}/', path) + {len(base) + 1})")
+    relative = F.substring("path", F.locate(base + "/", F.col("path")) + F.lit(len(base) + 1), F.length("path"))
     rows = files.select(relative.alias("path"), F.col("length").alias("size_bytes"), "content")
     hidden = F.col("path").rlike(r"(^|/)\.")
     excluded = F.col("path").rlike("(^|/)(" + "|".join(map(re.escape, EXCLUDED)) + ")/")
@@ -105,8 +105,15 @@ class GraphStore:
         self.spark, self.path = spark, path
 
     def version(self) -> int:
+        """The current version; 0 for an empty store. A store of another schema
+        is not read: it has to be indexed anew."""
         pointer = Path(self.path, "CURRENT.json")
-        return json.loads(pointer.read_text())["version"] if pointer.exists() else 0
+        if not pointer.exists():
+            return 0
+        found = json.loads(pointer.read_text())
+        if found.get("schema") != SCHEMA_VERSION:
+            raise ValueError(f"the store has schema {found.get('schema')}, this version reads {SCHEMA_VERSION}: index into a new store")
+        return found["version"]
 
     def read(self, table: str) -> DataFrame:
         schema = getattr(model, table.upper())

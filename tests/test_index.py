@@ -1,3 +1,4 @@
+import json
 import os
 import subprocess
 
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docweave import model
 from docweave.api import Api, NotFound
-from docweave.operators import changes, graph, impact, index, traverse
+from docweave.operators import changes, graph, impact, index, traverse, validate
 from docweave.parsing import typescript
 from docweave.sources import git
 from docweave.sources.files import GraphStore, read_tree
@@ -83,6 +84,96 @@ def test_strict_incremental_loses_edges_into_changed_files(spark):
     assert ("src/a.ts#<file>:file", "src/log.ts#<file>:file", "IMPORTS") in {tuple(r) for r in strict.dangling.collect()}
 
 
+def test_repositories_stay_independent(spark):
+    tree = scan_of(spark, {"src/a.ts": A, "docs/a.md": DOC})
+    one = stored(spark, index.index(spark, tree, *empty(spark), repository=1))
+    two = index.index(spark, scan_of(spark, {"src/a.ts": A}), *one, repository=2)
+    files, nodes, edges = stored(spark, two)
+    assert {(r.repository_id, r.path) for r in files.collect()} == {(1, "src/a.ts"), (1, "docs/a.md"), (2, "src/a.ts")}
+    of = lambda df, r: df.filter(F.col("repository_id") == r)
+    assert shape(of(nodes, 1), of(edges, 1)) == shape(*one[1:]) and two.dangling.count() == 0
+    assert two.summary().first().asDict() == {
+        "files_added": 1, "files_modified": 0, "files_removed": 0, "files_unchanged": 0, "total_nodes": 4, "total_edges": of(edges, 2).count(),
+        "unresolved_imports": 1, "unresolved_annotations": 0, "dangling_references": 0,
+    }
+    # the second is emptied, the first stays; ids stay on a new run of the same tree
+    gone = index.index(spark, tree.limit(0), files, nodes, edges, repository=2)
+    assert {r.repository_id for r in gone.nodes.collect()} == {1} == {r.repository_id for r in gone.files.collect()}
+    again = index.index(spark, tree, files, nodes, edges, repository=1)
+    assert {r.node_id for r in again.nodes.collect()} == {r.node_id for r in nodes.collect()}
+
+
+def test_symbol_removed_and_document_edited(spark):
+    state = stored(spark, index.index(spark, scan_of(spark, {"src/a.ts": A, "docs/a.md": DOC}), *empty(spark)))
+    less = A.replace("  refresh() { this.check() }\n", "")
+    done = index.index(spark, scan_of(spark, {"src/a.ts": less, "docs/a.md": DOC + "more\n"}), *state)
+    lost = ("src/a.ts#Auth.refresh:method", "docs/a.md#tokens:documentation_section", "DOCUMENTS")
+    assert [tuple(r) for r in done.dangling.collect()].count(lost) == 1
+    sides = [spark.createDataFrame([("src/a.ts", "src/a.ts", c)], "path_pair string, path string, content string") for c in (A, less)]
+    found = changes.symbol_changes(*[index.symbol_rows(typescript.parse_files(x), x).drop("code") for x in sides])
+    touched = spark.createDataFrame([("modified", "docs/a.md", None), ("modified", "src/a.ts", None)], "status string, path string, previous_path string")
+    _, nodes, edges = stored(spark, done)
+    findings = {(f.section_heading, f.related_symbol_name, f.related_change_type, f.action) for f in impact.analyze_impact(nodes, edges, found, touched, done.dangling).collect()}
+    assert ("Tokens", "refresh", "removed", "NEEDS_MORE_INFORMATION") in findings
+
+
+def test_doc_comment_is_stored_parsed(spark):
+    text = "/**\n * Adds.\n * @param a one\n */\nexport function add(a) { return a }\n"
+    nodes = index.index(spark, scan_of(spark, {"a.ts": text}), *empty(spark)).nodes
+    (row,) = nodes.filter("name = 'add'").collect()
+    assert json.loads(row.metadata)["doc"] == {"description": "Adds.", "tags": [{"tag": "param", "text": "a one"}]}
+
+
+PAGE = "# Authentication\n\n## Refresh tokens\n\nOriginal text.\n\n## Other\n\nMore.\n\n## Other\n\nAgain.\n"
+PATCH = ("docs/auth.md", "Refresh tokens", "## Refresh tokens\n\nOriginal text.", "## Refresh tokens\n\nUpdated text.")
+
+
+def applied(spark, patches, page=PAGE):
+    documents = spark.createDataFrame([("docs/auth.md", page), ("docs/b.md", "# B\n")], "document_path string, content string")
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(patches)], "n int, document_path string, section_heading string, original_content string, proposed_content string")
+    after, outcomes = validate.apply_all(documents, rows, "n", "docweave", documents.select(F.col("document_path").alias("path")))
+    texts = {r.document_path: r.content for r in after.collect()}
+    assert set(texts) == {"docs/auth.md", "docs/b.md"} and after.count() == 2
+    return texts["docs/auth.md"], {r.n: r for r in outcomes.collect()}
+
+
+def test_apply_checks_right_before_writing(spark):
+    text, done = applied(spark, [PATCH])
+    assert text == PAGE.replace("Original", "Updated") and done[0].valid
+    changed = PAGE.replace("Original text.", "Someone changed this.")
+    text, done = applied(spark, [PATCH], changed)
+    assert text == changed and not done[0].valid
+    text, done = applied(spark, [(*PATCH[:3], "## Refresh tokens\n\n```ts\nopen\n")])
+    assert text == PAGE and not done[0].valid
+    text, done = applied(spark, [("../outside.md", None, "", "x"), ("docs/../../docs/auth.md", *PATCH[1:]), ("./docs/../docs/auth.md", *PATCH[1:])])
+    assert [[i.check for i in done[n].issues] for n in (0, 1, 2)] == [["document-readable"], ["document-readable"], []] and text == PAGE.replace("Original", "Updated")
+
+
+def test_patches_of_one_document_apply_in_turn(spark):
+    longer = (*PATCH[:3], "## Refresh tokens\n\nUpdated text.\n\nLine.\n\nLine.")
+    other = ("docs/auth.md", "Other", "## Other\n\nMore.", "## Other\n\nMore [here](#other-1), [there](#nowhere), [b](b.md), [c](c.md).")
+    text, done = applied(spark, [longer, other, PATCH])
+    assert "Line.\n\nLine." in text and "[here](#other-1)" in text and "Again." in text
+    assert [done[n].valid for n in range(3)] == [True, True, False]
+    assert [(i.check, i.severity) for i in done[1].issues] == [("invalid-anchor", "warning"), ("broken-link", "warning")]
+    assert done[2].checks_not_performed == ["annotation-target-resolution"]
+    text, done = applied(spark, [])
+    assert text == PAGE and done == {}
+
+
+def test_until_ends_each_search_by_itself(spark, small):
+    starts = spark.createDataFrame([(0,), (3,)], "node_id long")
+    rows = traverse.traverse(small.nodes, small.edges, starts, "out", 9, until=1).collect()
+    assert {(r.start, r.node_id) for r in rows} == {(0, 0), (0, 1), (3, 3), (3, 0), (3, 1)}
+
+
+def test_a_store_of_another_schema_is_refused(spark, tmp_path):
+    store = GraphStore(spark, str(tmp_path))
+    (tmp_path / "CURRENT.json").write_text(json.dumps({"version": 1, "schema": model.SCHEMA_VERSION + 1}))
+    with pytest.raises(ValueError):
+        store.read("nodes")
+
+
 @pytest.fixture(scope="module")
 def small(spark):
     nodes = [(1, i, f"s#{n}:function", "function", n, n, "src/x.ts") for i, n in enumerate("abcde")]
