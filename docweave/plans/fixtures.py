@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docweave.plans.materialize import settled
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "documents")
 
 NODES = """
@@ -64,6 +66,7 @@ class Fixtures:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._kept: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -78,12 +81,23 @@ class Fixtures:
             "doc_id", "pos + 1 as line_no", "line"
         )
 
+    def keep(self) -> Fixtures:
+        """From now on nodes and edges are written tables, as a store holds them:
+        for queries that read them more than a few times."""
+        if not self._kept:
+            self._kept = {"nodes": settled(self.nodes), "edges": settled(self.edges)}
+        return self
+
     @property
     def nodes(self) -> DataFrame:
+        if "nodes" in self._kept:
+            return self._kept["nodes"]
         return self._sql(NODES, lines=self.lines).selectExpr("*", "cast(null as int) as start_line", "cast(null as int) as end_line")
 
     @property
     def edges(self) -> DataFrame:
+        if "edges" in self._kept:
+            return self._kept["edges"]
         rows = self._sql(EDGES, lines=self.lines)
         return rows.selectExpr("*", "xxhash64(type, source_id, target_id) as edge_id")
 

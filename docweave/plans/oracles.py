@@ -77,7 +77,7 @@ VIEWS = {
         FROM fx_patch WHERE doc_id % 7 = 0 OR doc_id % 5 = 0 OR doc_id % 4 = 0""",
     "fx_size": r"SELECT doc_id, length(regexp_replace(original, '^\s+|\s+$', '', 'g')) AS a, length(regexp_replace(proposed, '^\s+|\s+$', '', 'g')) AS b FROM fx_patch",
     "fx_shrunk": "SELECT doc_id, CAST(floor((1 - b / a) * 100 + 0.5) AS BIGINT) AS percent FROM fx_size WHERE a >= 40 AND b < a * 0.2",
-    "fx_doc_code": "SELECT concat('docs/', doc_id, '.md') AS document_path, substr(text, 1, 20) AS content FROM documents WHERE doc_id % 11 <> 0",
+    "fx_doc_code": "SELECT concat('docs/', doc_id, '.md') AS document_path, text AS content FROM documents WHERE doc_id % 11 <> 0",
 }
 
 
@@ -140,13 +140,16 @@ SQL = {
     "upsert_edges_keep_created": """SELECT user_id % 50 AS source_id, user_id % 7 AS target_id, event_type AS evidence_type, concat('m', max(event_id)) AS metadata, min(event_id) AS created_at FROM events GROUP BY ALL""",
     "delete_nodes_dangling": """SELECT s.stable_id AS source_stable_id, t.stable_id AS target_stable_id, e.type AS edge_type FROM fx_edges e JOIN fx_nodes s ON s.node_id = source_id JOIN fx_nodes t ON t.node_id = target_id
         WHERE (s.file_path IN (SELECT file_path FROM fx_gone)) <> (t.file_path IN (SELECT file_path FROM fx_gone))""",
+    "delete_nodes_dangling_between": """WITH gone AS (SELECT concat('src/', r_name, '.ts') AS f FROM region WHERE r_regionkey IN (1, 2, 3) UNION ALL SELECT concat('docs/', doc_id, '.md') FROM documents WHERE doc_id % 4 = 0)
+        SELECT s.stable_id AS source_stable_id, t.stable_id AS target_stable_id, e.type AS edge_type FROM fx_edges e JOIN fx_nodes s ON s.node_id = source_id JOIN fx_nodes t ON t.node_id = target_id
+        WHERE s.file_path <> t.file_path AND (s.file_path IN (SELECT f FROM gone) OR t.file_path IN (SELECT f FROM gone))""",
     "delete_cascade_remaining": """SELECT type, count(*) AS n, 'node' AS what FROM fx_nodes WHERE file_path NOT IN (SELECT file_path FROM fx_gone) GROUP BY type
         UNION ALL SELECT e.type, count(*), 'edge' FROM fx_edges e JOIN fx_nodes s ON s.node_id = source_id JOIN fx_nodes t ON t.node_id = target_id
         WHERE s.file_path NOT IN (SELECT file_path FROM fx_gone) AND t.file_path NOT IN (SELECT file_path FROM fx_gone) GROUP BY e.type""",
     "delete_files_remaining": "SELECT concat('lib/s', s_suppkey, '.ts') AS path FROM supplier WHERE s_suppkey % 10 <> 3",
     "upsert_files_snapshot": """SELECT concat('lib/s', s_suppkey, '.ts') AS path, CASE WHEN s_suppkey % 2 = 0 THEN upper(s_name) ELSE s_name END AS content_hash FROM supplier WHERE s_suppkey % 2 = 0 OR s_suppkey % 3 <> 0""",
-    "code_contains": "SELECT n.type AS kind, count(*) AS n FROM fx_edges e JOIN fx_nodes n ON n.node_id = target_id WHERE e.type = 'CONTAINS' AND n.type IN ('class', 'method', 'function') GROUP BY n.type",
-    "doc_contains": f"SELECT {_PATH} AS file_path, count(*) AS sections FROM fx_lines WHERE line <> '' GROUP BY doc_id",
+    "code_contains": "SELECT 'class' AS kind, count(*) AS n FROM nation UNION ALL SELECT 'method', count(*) FROM customer UNION ALL SELECT 'function', count(*) FROM part",
+    "doc_contains": f"SELECT {_PATH} AS file_path, count(*) AS sections FROM fx_lines WHERE line_no % 3 = 1 GROUP BY doc_id",
     "list_nodes_topn": "SELECT node_id, stable_id, type FROM fx_nodes WHERE type IN ('class', 'method') ORDER BY node_id LIMIT 300",
     "list_edges_topn": "SELECT type, source_id, target_id FROM fx_edges WHERE type IN ('CALLS', 'IMPORTS') ORDER BY type, source_id, target_id LIMIT 500",
     "node_lookup": """SELECT 'id' AS how, node_id, stable_id, name FROM fx_nodes WHERE node_id = 1000007 UNION ALL SELECT 'stable_id', node_id, stable_id, name FROM fx_nodes
@@ -199,7 +202,15 @@ SQL = {
     "impact_by_certainty": "SELECT certainty, count(*) AS n FROM fx_acted GROUP BY certainty",
     "dangling_change_match": """SELECT c.stable_id AS symbol_id, d.stable_id AS target_stable_id FROM fx_changed c JOIN fx_edges e ON e.type = 'DOCUMENTS' AND e.source_id = c.node_id
         JOIN fx_nodes d ON d.node_id = e.target_id WHERE c.node_id % 7 <> 0""",
-    "sections": "SELECT doc_id, line_no AS start_line, lead(line_no) OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS end_line FROM fx_lines WHERE line <> '' AND line_no % 3 = 1",
+    "sections": f"""SELECT {_PATH} AS document_path, concat('h', line_no - 1) AS heading, CAST(line_no AS INTEGER) AS start_line, CAST(least(line_no + 2, n) AS INTEGER) AS end_line
+        FROM (SELECT doc_id, line_no, count(*) OVER (PARTITION BY doc_id) AS n FROM fx_lines) WHERE line_no % 3 = 1""",
+    "locate_sections": """SELECT doc_id, h AS section_heading, CASE WHEN h IS NULL THEN 1 WHEN spot <= n THEN spot END AS start_line, CASE WHEN h IS NULL THEN n WHEN spot <= n THEN least(spot + 2, n) END AS end_line,
+        CASE WHEN h IS NULL THEN 5 * ((n + 2) // 3) + 4 * (n - (n + 2) // 3) + n - 1 WHEN spot <= n THEN 5 + 5 * (least(spot + 2, n) - spot) END AS chars
+        FROM (SELECT doc_id, CAST(max(line_no) AS INTEGER) AS n FROM fx_lines GROUP BY doc_id) CROSS JOIN (VALUES ('h0', 1), ('h3', 4), (NULL, 1)) v(h, spot)""",
+    "heading_slugs": r"""SELECT page_id, k, CASE WHEN nth = 1 THEN base ELSE concat(base, '-', nth - 1) END AS slug
+        FROM (SELECT page_id, k, base, row_number() OVER (PARTITION BY page_id // 4, base ORDER BY page_id, k) AS nth
+          FROM (SELECT page_id, k, CASE k WHEN 1 THEN 'setup' ELSE replace(lower(trim(regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '[^A-Za-z0-9 -]', '', 'g'))), ' ', '-') END AS base
+            FROM pages CROSS JOIN (VALUES (0), (1), (2)) v(k)))""",
     "links": r"""SELECT page_id, nth - 1 AS nth, texts[nth] AS text, targets[nth] AS target, regexp_matches(targets[nth], '(?i)^([a-z][a-z0-9+.-]*:)?//') OR starts_with(targets[nth], 'mailto:') AS external
         FROM (SELECT page_id, unnest(generate_series(1, len(texts))) AS nth, texts, targets FROM (SELECT page_id,
           regexp_extract_all(html, '<a href="([^"\s<>()]+)">([^<\[\]]*)</a>', 2) AS texts, regexp_extract_all(html, '<a href="([^"\s<>()]+)">([^<\[\]]*)</a>', 1) AS targets FROM pages))""",
@@ -235,7 +246,7 @@ SQL = {
     "generate_offline": """SELECT f.document_path, section_heading, related_symbol_id, CASE WHEN d.content IS NULL THEN 'PROVIDER_UNAVAILABLE' WHEN n.node_id % 2 = 0 THEN 'PROPOSED' ELSE 'NEEDS_MORE_INFORMATION' END AS status,
         CASE WHEN d.content IS NULL THEN 'Could not assemble enough context to attempt generation (matching source or documentation content was not readable).'
              WHEN n.node_id % 2 = 1 THEN 'No "after" source snippet was available for this symbol.' END AS reason,
-        CASE WHEN d.content IS NOT NULL AND n.node_id % 2 = 0 THEN concat(d.content, chr(10), chr(10), '> **Note:** `', related_symbol_name, '` changed and this section may need review. _(mock-generated placeholder, not real prose)_') END AS proposed_content
+        CASE WHEN d.content IS NOT NULL AND n.node_id % 2 = 0 THEN sha256(concat(d.content, chr(10), chr(10), '> **Note:** `', related_symbol_name, '` changed and this section may need review. _(mock-generated placeholder, not real prose)_')) END AS proposed_sha256
         FROM fx_acted f JOIN fx_nodes n ON n.stable_id = related_symbol_id LEFT JOIN fx_doc_code d ON d.document_path = f.document_path WHERE action = 'REVIEW' AND related_change_type = 'modified'""",
     "report_summary": """SELECT (SELECT count(*) FROM fx_touched) AS files_changed, (SELECT count(*) FROM fx_changed) AS symbols_changed, (SELECT count(*) FROM fx_acted) AS findings,
         (SELECT string_agg(concat(action, '=', n), ',' ORDER BY action) FROM (SELECT action, count(*) AS n FROM fx_acted GROUP BY action)) AS by_action,

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from docweave import model
 from docweave.functions import text as tx
-from docweave.operators import changes, generate, graph, impact, report, resolve, traverse, validate
+from docweave.operators import changes, generate, graph, impact, index, report, resolve, traverse, validate
+from docweave.parsing import markdown, typescript
 from docweave.plans.fixtures import Fixtures
 
 PREFIX = "docweave"
@@ -153,6 +154,13 @@ def delete_nodes_dangling(fx: Fixtures) -> DataFrame:
     return graph.dangling_references(fx.nodes, fx.edges, _region_files(fx))
 
 
+@query
+def delete_nodes_dangling_between(fx: Fixtures) -> DataFrame:
+    files = fx.table("region").filter("r_regionkey in (1, 2, 3)").select(cat("src/", F.col("r_name"), ".ts").alias("file_path"))
+    gone = files.unionByName(fx.table("documents").filter("doc_id % 4 = 0").select(doc_path().alias("file_path")))
+    return graph.dangling_references(fx.nodes, fx.edges, gone)
+
+
 @query
 def delete_cascade_remaining(fx: Fixtures) -> DataFrame:
     nodes, edges = graph.delete_nodes_of_files(fx.nodes, fx.edges, _region_files(fx))
@@ -177,14 +185,29 @@ def upsert_files_snapshot(fx: Fixtures) -> DataFrame:
 
 @query
 def code_contains(fx: Fixtures) -> DataFrame:
-    code = fx.nodes.filter("type in ('class', 'method', 'function')").select(F.col("node_id").alias("target_id"), F.col("type").alias("kind"))
-    return fx.edges.filter("type = 'CONTAINS'").join(code, "target_id").groupBy("kind").agg(F.count("*").alias("n"))
+    """A file for each nation: a class with a method for each customer, and functions."""
+    line = lambda key, text: F.array_join(F.array_sort(F.collect_list(cat(*text(F.col(key))))), "\n")
+    methods = fx.table("customer").groupBy(F.col("c_nationkey").alias("k")).agg(line("c_custkey", lambda c: ("  m", c, "() { return 1 }")).alias("methods"))
+    functions = fx.table("part").groupBy((F.col("p_partkey") % 25).cast("int").alias("k")).agg(line("p_partkey", lambda c: ("export function f", c, "() {}")).alias("functions"))
+    text = cat("export class N", F.col("n_nationkey"), " {\n", F.coalesce("methods", F.lit("")), "\n}\n", F.coalesce("functions", F.lit("")), "\n")
+    keyed = fx.table("nation").withColumn("k", F.col("n_nationkey"))
+    files = keyed.join(methods, "k", "left").join(functions, "k", "left").select(cat("src/n", F.col("k"), ".ts").alias("path"), text.alias("content"))
+    nodes, edges = index.code_nodes(typescript.parse_files(files), 1)
+    kinds = nodes.select(F.col("stable_id").alias("target_stable_id"), F.col("type").alias("kind"))
+    return edges.join(kinds, "target_stable_id").groupBy("kind").agg(F.count("*").alias("n"))
+
+
+def _headed(fx: Fixtures, name: Callable[[Column], Column]) -> DataFrame:
+    """documents(document_path, content, doc_id) with every third line a heading."""
+    lines = F.transform(F.split("text", "\n", -1), lambda _, i: F.when(i % 3 == 0, F.concat(F.lit("## "), name(i))).otherwise("text"))
+    return fx.table("documents").select(doc_path().alias("document_path"), F.array_join(lines, "\n").alias("content"), "doc_id")
 
 
 @query
 def doc_contains(fx: Fixtures) -> DataFrame:
-    docs = fx.nodes.filter("type = 'documentation_page'").select(F.col("node_id").alias("source_id"), "file_path")
-    return fx.edges.filter("type = 'CONTAINS'").join(docs, "source_id").groupBy("file_path").agg(F.count("*").alias("sections"))
+    docs = _headed(fx, lambda i: cat("h", i))
+    _, edges = index.document_nodes(markdown.parse_files(docs.select(F.col("document_path").alias("path"), "content"), PREFIX), 1)
+    return edges.groupBy(F.col("evidence_location.filePath").alias("file_path")).agg(F.count("*").alias("sections"))
 
 
 # ------------------------------------------------------------------------- reads
@@ -293,6 +316,7 @@ def repo_type_breakdown(fx: Fixtures) -> DataFrame:
 
 # --------------------------------------------------------------------- traversal
 def _bfs(fx: Fixtures, start: int, direction: str, depth: int, types=None) -> DataFrame:
+    fx.keep()
     starts = fx.spark.createDataFrame([(start,)], "node_id long")
     return traverse.traverse(fx.nodes, fx.edges, starts, direction, depth, types).select("node_id", "depth")
 
@@ -324,6 +348,7 @@ def bfs_cycle(fx: Fixtures) -> DataFrame:
 
 @query
 def shortest_path(fx: Fixtures) -> DataFrame:
+    fx.keep()
     path = traverse.shortest_path(fx.nodes, fx.edges, 501, 100000, 6)
     return path.agg((F.count("*") - 1).alias("distance"))
 
@@ -426,6 +451,7 @@ def _file_changes(fx: Fixtures) -> DataFrame:
 
 
 def _findings(fx: Fixtures) -> DataFrame:
+    fx.keep()
     return impact.analyze_impact(fx.nodes, fx.edges, _change_set(fx), _file_changes(fx), _dangling(fx))
 
 
@@ -454,19 +480,31 @@ def dangling_change_match(fx: Fixtures) -> DataFrame:
 # -------------------------------------------------------------------------- text
 @query
 def heading_slugs(fx: Fixtures) -> DataFrame:
+    """Documents of four pages: each gives its title, a heading that repeats, and its title again."""
     title = F.regexp_extract("html", r"(?s)<h1[^>]*>(.*?)</h1>", 1)
-    heads = fx.table("pages").select((F.col("page_id") % 10).alias("doc"), "page_id", tx.slug(F.regexp_replace(title, r"[^A-Za-z0-9 -]", "")).alias("base"))
-    short = heads.withColumn("base", F.substring("base", 1, 2))
-    per = short.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("page_id", "base"))).alias("h"))
-    slugs = tx.numbered_slugs(F.transform("h", lambda x: x["base"]))
-    return per.select(F.explode(F.arrays_zip(F.transform("h", lambda x: x["page_id"]).alias("page_id"), slugs.alias("slug"))).alias("x")).select("x.page_id", "x.slug")
+    heads = fx.table("pages").select(F.floor(F.col("page_id") / 4).alias("doc"), "page_id", F.trim(F.regexp_replace(title, r"[^A-Za-z0-9 -]", "")).alias("title"))
+    per = heads.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("page_id", "title"))).alias("h"))  # four at most
+    text = F.array_join(F.transform("h", lambda x: F.concat(F.lit("# "), x["title"], F.lit("\n\n## Setup\n\n# "), x["title"])), "\n\n")
+    parsed = markdown.parse_files(per.select(F.col("doc").cast("string").alias("path"), text.alias("content")), PREFIX)
+    slugs = parsed.select(F.col("path").cast("long").alias("doc"), F.posexplode("headings").alias("nth", "s"))
+    page = F.element_at("h", (F.floor(F.col("nth") / 3) + 1).cast("int"))["page_id"]
+    return slugs.join(per, "doc").select(page.alias("page_id"), (F.col("nth") % 3).alias("k"), F.col("s.slug").alias("slug"))
 
 
 @query
 def sections(fx: Fixtures) -> DataFrame:
-    heads = fx.lines.filter("line <> '' and line_no % 3 = 1")
-    after = F.lead("line_no").over(Window.partitionBy("doc_id").orderBy("line_no"))
-    return heads.select("doc_id", F.col("line_no").alias("start_line"), (after - 1).alias("end_line"))
+    docs = _headed(fx, lambda i: cat("h", i))
+    found = validate.sections_of(docs)
+    return found.select("document_path", "heading", "start_line", "end_line")
+
+
+@query
+def locate_sections(fx: Fixtures) -> DataFrame:
+    """Headings repeat: h0 and h3 in turn; the first of a name is meant."""
+    docs = _headed(fx, lambda i: cat("h", i % 6))
+    patches = docs.select("doc_id", "document_path", F.explode(F.array(F.lit("h0"), F.lit("h3"), F.lit(None))).alias("section_heading"))
+    found = validate.locate_sections(patches, docs, validate.sections_of(docs))
+    return found.select("doc_id", "section_heading", "start_line", "end_line", F.length("current_text").cast("long").alias("chars"))
 
 
 @query
@@ -612,10 +650,10 @@ def splice_documents(fx: Fixtures) -> DataFrame:
 @query
 def generate_offline(fx: Fixtures) -> DataFrame:
     code = fx.nodes.filter("type = 'method'").select(F.col("stable_id").alias("symbol_id"), F.when(F.col("node_id") % 2 == 0, F.col("name")).otherwise("").alias("code"))
-    docs = fx.table("documents").filter("doc_id % 11 <> 0").select(doc_path().alias("document_path"), F.substring("text", 1, 20).alias("content"))
+    docs = fx.table("documents").filter("doc_id % 11 <> 0").select(doc_path().alias("document_path"), F.col("text").alias("content"))
     contexts = generate.contexts(_findings(fx), _change_set(fx), code, code, docs)
     out = generate.generate(contexts, generate.offline_provider())
-    return out.select("document_path", "section_heading", "related_symbol_id", "status", "reason", "proposed_content")
+    return out.select("document_path", "section_heading", "related_symbol_id", "status", "reason", tx.digest(F.col("proposed_content")).alias("proposed_sha256"))
 
 
 @query
