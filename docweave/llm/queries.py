@@ -88,6 +88,22 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_turns(turns.unionByName(more)))
 
 
+OP8_SQL = r"""
+WITH rows AS (SELECT conv_id, turn, role, text FROM conversations
+              UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+     turns AS (SELECT *, coalesce(role, '') AS r, coalesce(text, '') AS t, coalesce(role = 'assistant', false) AS learned FROM rows),
+     sizes AS (SELECT *, list_sum(list_transform([r, t], lambda x: 3 * length(x) - length(replace(x, '\', ''))
+                  - length(regexp_replace(x, '#{3,}', '', 'g')) + (length(x) - length(replace(x, '</turn>', ''))) // 7))
+                + length(r) - length(replace(r, ':', '')) + length('### : </turn>' || chr(10)) AS chars FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST)) AS turns_sha256,
+  CAST(sum(CASE WHEN learned THEN length(t) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(string_agg(CASE WHEN learned THEN t ELSE '' END, '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST)) AS loss_sha256,
+  CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM sizes GROUP BY conv_id
+"""
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), ["doc_id"])
 
@@ -111,4 +127,4 @@ SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 5
 
 QUERIES = {"op1_simhash": op1_simhash, "op2_langid": op2_langid, "op3_sharding": op3_sharding, "op4_mixing": op4_mixing, "op5_urlfilter": op5_urlfilter, "op6_ordermin": op6_ordermin, "op7_token_ids": op7_token_ids, "op8_chat": op8_chat, "op9_bpe": op9_bpe, "op10_topk": op10_topk}
 
-ORACLE: dict[str, str] = {"op5_urlfilter": OP5_SQL, "op10_topk": OP10_SQL}
+ORACLE: dict[str, str] = {"op5_urlfilter": OP5_SQL, "op8_chat": OP8_SQL, "op10_topk": OP10_SQL}

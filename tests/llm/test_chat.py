@@ -1,10 +1,11 @@
 import hashlib
 
+import duckdb
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from docweave.llm import chat
+from docweave.llm import chat, queries
 
 PIECES = ["\\", "#", "##", "###", "####", "### Assistant: ", "</turn>", "</turn>\n", "</turn", ">", "<", "/turn>", ":", ": ", "\n", "é", "日", "ok", " ", "\x00", "\\/", "\\n"]
 TEXT = st.one_of(st.none(), st.lists(st.sampled_from(PIECES), max_size=12).map("".join), st.text(max_size=12))
@@ -63,3 +64,16 @@ def test_odd_rows(spark, monkeypatch):
     compare(spark, rows)
     turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.digests(chat.format_turns(turns)).count() == 0
+
+
+def test_query_equals_sql(spark, sf, tmp_path):
+    rows = [(1, 0, "user", "## and ### and \\\\ ####"), (1, 1, "assistant", "</turn></turn> é日"), (2, 0, "a: b###", None), (2, 0, None, "x"), (None, None, "assistant", "n"), (3, 1, "assistant", "")]
+    odd = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    odd.write.parquet(f"{tmp_path}/conversations.parquet")
+    for place, files in (sf, f"{sf}/conversations.parquet"), (str(tmp_path), f"{tmp_path}/conversations.parquet/*.parquet"):
+        duck = duckdb.connect()
+        duck.execute(f"CREATE VIEW conversations AS SELECT * FROM '{files}'")
+        done = duck.execute(queries.ORACLE["op8_chat"])
+        names = [d[0] for d in done.description]
+        got = queries.QUERIES["op8_chat"](spark, place).select(*names).collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, done.fetchall()))
