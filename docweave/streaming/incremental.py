@@ -2,7 +2,10 @@
 
 The state is the content hash of each path. Every micro-batch is compared
 with it and only new contents go on, so a repeated or replayed file costs a
-look-up. A batch is applied once: state versions are named by batch id.
+look-up. State versions are named by batch id and written after ``apply``: a
+batch that fails in between is handed out again with the same id and the same
+files, so ``apply`` has to bear that. The last two versions are kept, which is
+what a repeated batch reads. A file that is gone from the source is not noticed.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ def incremental(stream: DataFrame, state_path: str, checkpoint: str, apply: Call
             apply(latest.join(status, "path"), batch_id)
             kept = state.join(latest.select("path"), "path", "left_anti")
             kept.unionByName(latest.select("path", "content_hash")).write.mode("overwrite").parquet(f"{state_path}/v{batch_id}")
+            old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{state_path}/v{batch_id - 2}")
+            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
         finally:
             latest.unpersist()
 

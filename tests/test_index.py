@@ -251,9 +251,10 @@ def test_stream(spark, tmp_path):
     from docweave.streaming.incremental import incremental
 
     source, seen = tmp_path / "in", []
-    for i, rows in enumerate(([("a", "1", 0), ("b", "1", 1)], [("a", "1", 2), ("b", "2", 3), ("c", "1", 4)])):
+    for i, rows in enumerate(([("a", "1", 0), ("b", "1", 1)], [("a", "1", 2), ("b", "2", 3), ("c", "1", 4)], [("a", "2", 5)])):
         spark.createDataFrame(rows, "path string, content string, ordinal long").coalesce(1).write.mode("append").parquet(str(source))
         stream = spark.readStream.schema("path string, content string, ordinal long").parquet(str(source))
         query = incremental(stream, str(tmp_path / "state"), str(tmp_path / "check"), lambda df, _: seen.append({(r.path, r.status) for r in df.collect()}))
         query.awaitTermination()
-    assert seen == [{("a", "added"), ("b", "added")}, {("b", "modified"), ("c", "added")}]
+    assert seen == [{("a", "added"), ("b", "added")}, {("b", "modified"), ("c", "added")}, {("a", "modified")}]
+    assert sorted(p.name for p in (tmp_path / "state").iterdir()) == ["v1", "v2"]
