@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docweave.functions import messages
 from docweave.functions.text import language
 from docweave.model import KIND_LABELS, labelled
 from docweave.operators.graph import last_wins
@@ -139,15 +140,15 @@ def symbol_changes(base: DataFrame, target: DataFrame) -> DataFrame:
     kind, name, path = F.col("kind"), F.col("qualified_name"), F.col("path")
     new = one(
         added.join(moves.select(F.col("new_symbol_id").alias("symbol_id")), "symbol_id", "left_anti"), 0, "added",
-        _described(kind, name, "added in ", path), "Symbol is absent in the base revision and present in the target.",
+        _described(kind, name, "added in ", path), messages.ADDED,
     )
     gone = one(
         removed.join(moves.select(F.col("old_symbol_id").alias("symbol_id")), "symbol_id", "left_anti"), 1, "removed",
-        _described(kind, name, "removed from ", path), "Symbol is present in the base revision and absent in the target.",
+        _described(kind, name, "removed from ", path), messages.REMOVED,
     )
     changed = one(
         candidates("modified", "new"), 2, "modified",
-        _described(kind, name, "changed in ", path), "This symbol's own source text differs between the two revisions.",
+        _described(kind, name, "changed in ", path), messages.MODIFIED,
     )
     came = added.withColumnRenamed("symbol_id", "new_symbol_id").join(moves, "new_symbol_id")
     left = removed.select(F.col("symbol_id").alias("old_symbol_id"), F.col("path").alias("old_path"))
@@ -155,7 +156,7 @@ def symbol_changes(base: DataFrame, target: DataFrame) -> DataFrame:
         F.lit(3).alias("order_group"), F.lit("moved").alias("change_type"), F.col("new_symbol_id").alias("symbol_id"), "name", "kind",
         F.col("path").alias("file_path"), F.col("old_path").alias("previous_file_path"), F.col("old_symbol_id").alias("previous_symbol_id"),
         _described(kind, name, "moved from ", F.col("old_path"), " to ", path).alias("description"),
-        F.lit("Identical source text was removed from one file and added, unchanged, to another.").alias("evidence"), "ordinal",
+        F.lit(messages.MOVED).alias("evidence"), "ordinal",
     )
     return new.unionByName(gone).unionByName(changed).unionByName(moved)
 

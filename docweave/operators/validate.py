@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docweave.functions import messages
+from docweave.functions.messages import says
 from docweave.functions.text import annotation, comments, deletion_percent, dirname, is_external, links, odd_fences, safe_path, splice_lines
 from docweave.operators.resolve import resolve_annotations
 from docweave.parsing import markdown
@@ -20,9 +22,8 @@ from docweave.plans.materialize import settled
 ISSUE = "array<struct<check:string,severity:string,message:string>>"
 
 
-def issue(when: Column, check: str, severity: str, *message: Column | str) -> Column:
-    text = F.concat(*[F.lit(m) if isinstance(m, str) else m for m in message])
-    return F.when(when, F.struct(F.lit(check).alias("check"), F.lit(severity).alias("severity"), text.alias("message")))
+def issue(when: Column, check: str, severity: str, sentence: str, *values: Column) -> Column:
+    return F.when(when, F.struct(F.lit(check).alias("check"), F.lit(severity).alias("severity"), says(sentence, *values).alias("message")))
 
 
 def present(*issues: Column) -> Column:
@@ -61,37 +62,26 @@ def applicability(located: DataFrame) -> Column:
     gone = ~unread & F.col("start_line").isNull()
     stale = ~unread & ~gone & ~F.col("current_text").eqNullSafe(F.col("original_content"))
     return present(
-        issue(unread, "document-readable", "error", "Document ", path, " no longer exists, could not be read, or its path escapes the repository."),
-        issue(
-            gone, "patch-applicability", "error", 'Section "', F.coalesce("section_heading", F.lit("null")), '" was not found in ', path,
-            " — it may have been renamed or removed since this patch was generated.",
-        ),
-        issue(
-            stale, "patch-applicability", "error", "The content of this section in ", path,
-            " has changed since this patch was generated — regenerate the patch before applying.",
-        ),
-    )
+        issue(unread, "document-readable", "error", messages.UNREADABLE, path),
+        issue(gone, "patch-applicability", "error", messages.NO_SECTION, F.coalesce("section_heading", F.lit("null")), path),
+        issue(stale, "patch-applicability", "error", messages.STALE, path),
+    )
 
 
 def structure(text: Column, prefix: str) -> Column:
     """Balanced fences and well-formed annotations."""
-    fence = issue(odd_fences(text), "code-fence-integrity", "error", "An odd number of ``` fence markers were found — a code fence may be unclosed.")
+    fence = issue(odd_fences(text), "code-fence-integrity", "error", messages.OPEN_FENCE)
     found = F.filter(F.transform(comments(text), lambda c: annotation(c, prefix)), lambda a: a.isNotNull() & ~a["well_formed"])
     bad = F.transform(
         found,
-        lambda a: issue(F.lit(True), "annotation-well-formed", "error", f'Malformed {prefix} annotation targeting "', a["target"], '": ', F.array_join(a["issues"], "; ")),
+        lambda a: issue(F.lit(True), "annotation-well-formed", "error", messages.BAD_ANNOTATION, F.lit(prefix), a["target"], F.array_join(a["issues"], "; ")),
     )
     return F.concat(present(fence), bad.cast(ISSUE))
 
 
 def accidental_deletion(original: Column, proposed: Column) -> Column:
     percent = deletion_percent(original, proposed)
-    return present(
-        issue(
-            percent.isNotNull(), "accidental-deletion", "warning", "The proposed content is ", percent.cast("string"),
-            "% shorter than the original — check this wasn't an accidental deletion.",
-        )
-    )
+    return present(issue(percent.isNotNull(), "accidental-deletion", "warning", messages.DELETION, percent.cast("string")))
 
 
 def _collected(patches: DataFrame, key: str, issues: DataFrame, name: str) -> DataFrame:
@@ -108,10 +98,8 @@ def links_and_anchors(patches: DataFrame, key: str, slugs: DataFrame, files: Dat
     anchors = found.filter(F.col("target").startswith("#")).withColumn("slug", F.expr("substring(target, 2)"))
     lost = anchors.join(slugs.select(key, "slug").distinct(), [key, "slug"], "left_anti")
     lost = lost.select(
-        key, "nth", issue(
-            F.lit(True), "invalid-anchor", "warning", 'Link "', F.col("text"), '" points at anchor "#', F.col("slug"),
-            '", which doesn\'t match any heading in ', F.col("document_path"), ".",
-        ).alias("issue"),
+        key, "nth",
+        issue(F.lit(True), "invalid-anchor", "warning", messages.LOST_ANCHOR, F.col("text"), F.col("slug"), F.col("document_path")).alias("issue"),
     )
     paths = found.filter(~F.col("target").startswith("#")).withColumn("part", F.split("target", "#", -1)[0]).filter("part <> ''")
     joined = F.concat(dirname(F.col("document_path")), F.lit("/"), F.col("part"))
@@ -119,9 +107,9 @@ def links_and_anchors(patches: DataFrame, key: str, slugs: DataFrame, files: Dat
     base = root.rstrip("/") + "/"
     known = files.select(F.concat(F.lit(base), F.col("path")).alias("full"), F.lit(True).alias("__known")).distinct()
     checked = paths.withColumn("full", full).join(known, "full", "left")
-    told = ['Link "', F.col("text"), '" points at "', F.col("target"), '", which ']
-    outside = issue(F.col("full").isNull(), "broken-link", "warning", *told, "resolves outside the repository.")
-    missing = issue(F.col("__known").isNull(), "broken-link", "warning", *told, "does not exist relative to ", F.col("document_path"), ".")
+    told = [F.col("text"), F.col("target")]
+    outside = issue(F.col("full").isNull(), "broken-link", "warning", messages.OUTSIDE, *told)
+    missing = issue(F.col("__known").isNull(), "broken-link", "warning", messages.MISSING, *told, F.col("document_path"))
     broken = checked.select(key, "nth", F.coalesce(outside, missing).alias("issue")).filter("issue is not null")
     return _collected(patches, key, lost.unionByName(broken), name)
 
@@ -132,10 +120,8 @@ def annotation_targets(patches: DataFrame, key: str, nodes: DataFrame, prefix: s
     targets = found.filter("a.well_formed and contains(a.target, '#')").select(key, "nth", "a.target")
     bad = resolve_annotations(targets, nodes).filter("matches <> 1")
     bad = bad.select(
-        key, "nth", issue(
-            F.lit(True), "annotation-target-resolution", "warning", 'Annotation target "', F.col("target"),
-            '" does not resolve to exactly one known symbol (found ', F.col("matches").cast("string"), ").",
-        ).alias("issue"),
+        key, "nth",
+        issue(F.lit(True), "annotation-target-resolution", "warning", messages.NOT_ONE_TARGET, F.col("target"), F.col("matches").cast("string")).alias("issue"),
     )
     return _collected(patches, key, bad, name)
 

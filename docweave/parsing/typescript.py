@@ -16,6 +16,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from docweave.functions import messages
+
 _TOKEN = re.compile(
     r"""(?P<space>\s+)|(?P<comment>//[^\n]*|/\*.*?\*/)|(?P<name>[A-Za-z_$\u0080-￿#][\w$\u0080-￿]*)
     |(?P<number>\d[\w.]*)|(?P<string>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*')
@@ -332,7 +334,7 @@ class _File:
                     return
                 last = body[1] if body[1] >= body[0] else body[0] - 1
                 if computed:
-                    self.unsupported.append({"description": "Computed method name is not modeled", "location": self.span(first, last)})
+                    self.unsupported.append({"description": messages.COMPUTED_NAME, "location": self.span(first, last)})
                 else:
                     method = self.symbol("method", self.at(name_at), first, last, parent=own)
                     if body[1] >= body[0]:
@@ -364,7 +366,7 @@ class _File:
             name_at = j
             if self.at(j) in ("{", "["):
                 if exported:
-                    self.unsupported.append({"description": "Destructured export binding is not modeled", "location": self.span(j, self.pair[j])})
+                    self.unsupported.append({"description": messages.DESTRUCTURED_EXPORT, "location": self.span(j, self.pair[j])})
                 self.walk(j + 1, self.pair[j], cls, callable_)
                 j = self.pair[j] + 1
             elif self.is_name(j):
@@ -436,7 +438,7 @@ class _File:
         j = i + 2 if self.at(i + 1) == "type" and self.at(i + 2) in ("{", "*") else i + 1
         if self.at(j) == "=":
             last = self.expression_end(j + 1, end)
-            self.unsupported.append({"description": "CommonJS-style `export =` is not modeled", "location": self.span(i, last)})
+            self.unsupported.append({"description": messages.EXPORT_ASSIGNMENT, "location": self.span(i, last)})
             return j + 1
         if self.at(j) in ("{", "*"):
             k = self.pair[j] + 1 if self.at(j) == "{" else j + 3 if self.at(j + 1) == "as" else j + 1
