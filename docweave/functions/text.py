@@ -7,6 +7,7 @@ at least inside the JVM.
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -166,20 +167,29 @@ def reference_kind(code: Column) -> Column:
     return F.when(code.contains("/") | code.rlike(FILE_REFERENCE), "file-path").when(code.rlike(SYMBOL_REFERENCE), "symbol-like")
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` where the value is computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def doc_comment(raw: Column) -> Column:
     """struct<description, tags array<struct<tag, text>>> of a /** comment */."""
     body = F.regexp_replace(F.regexp_replace(raw, r"^/\*\*", ""), r"\*/$", "")
     lines = F.transform(F.split(body, "\n", -1), lambda x: F.regexp_replace(trimmed(x), r"^\*\s?", ""))
-    tag_line = lambda x: x.rlike(r"^@(\w+)\s*(.*)$")
-    tags = F.transform(
-        F.filter(lines, tag_line),
-        lambda x: F.struct(F.regexp_extract(x, r"^@(\w+)\s*(.*)$", 1).alias("tag"), trimmed(F.regexp_extract(x, r"^@(\w+)\s*(.*)$", 2)).alias("text")),
-    )
-    flags = F.transform(lines, lambda x: F.when(tag_line(x), 1).otherwise(0))
-    first = F.when(F.array_contains(flags, 1), F.array_position(flags, 1)).otherwise(F.size(lines) + 1)
-    told = F.filter(F.slice(lines, F.lit(1), (first - 1).cast("int")), lambda x: x != "")
-    description = trimmed(F.array_join(told, " "))
-    return F.struct(F.when(description != "", description).alias("description"), tags.alias("tags"))
+    tag_line = lambda x: x.startswith("@") & x.rlike(r"^@(\w+)\s*(.*)$")
+
+    def parts(lines: Column) -> Column:
+        tags = F.transform(
+            F.filter(lines, tag_line),
+            lambda x: F.struct(F.regexp_extract(x, r"^@(\w+)\s*(.*)$", 1).alias("tag"), trimmed(F.regexp_extract(x, r"^@(\w+)\s*(.*)$", 2)).alias("text")),
+        )
+        first = F.array_position(F.transform(lines, lambda x: F.when(tag_line(x), 1).otherwise(0)), 1)
+        before = lambda n: F.slice(lines, F.lit(1), F.when(n > 0, n - 1).otherwise(F.size(lines)).cast("int"))
+        told = F.filter(_once(first, before), lambda x: x != "")
+        description = _once(trimmed(F.array_join(told, " ")), lambda d: F.when(d != "", d))
+        return F.struct(description.alias("description"), tags.alias("tags"))
+
+    return _once(lines, parts)
 
 
 # ------------------------------------------------------------------ validation

@@ -48,3 +48,16 @@ def test_gitignore(tmp_path, spark):
         (tmp_path / name).write_text("x")
     (tmp_path / ".gitignore").write_text("# c\n*.test.ts\n/tmp/*\n!/tmp/keep.js\ndeep/\n")
     assert [r.path for r in discover(spark, str(tmp_path)).collect()] == ["docs/x.md", "src/a.ts", "tmp/keep.js"]
+
+
+def test_doc_comment_splits_its_lines_once(spark):
+    cases = ["/** One. */", "/**\n * A\n *\n * b.\n * @param x  the x \n * more\n * @returns\n */", "/** @only tag */", "/***/", None, "/**\n * \u00a0wide\u00a0\n * a @not b\n * @ no\n */"]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, raw string").repartition(1)
+    found = df.select("i", tx.doc_comment(F.col("raw")).alias("d")).select("i", "d.description", "d.tags")
+    got = {r.i: (r.description, r.tags and [tuple(t) for t in r.tags]) for r in found.collect()}
+    assert got == {
+        0: ("One.", []), 1: ("A b.", [("param", "x  the x"), ("returns", "")]), 2: (None, [("only", "tag")]), 3: (None, []), 4: (None, None),
+        5: ("wide a @not b @ no", []),
+    }
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
