@@ -84,3 +84,27 @@ def test_parse_files(spark):
     rows = [("src/a.ts", "export const f = () => g()"), ("src/b.js", None), ("src/c.ts", "{{{ ((")]
     got = {r.path: r for r in ts.parse_files(spark.createDataFrame(rows, "path string, content string")).collect()}
     assert [s.name for s in got["src/a.ts"].symbols] == ["f"] and got["src/b.js"].symbols == [] and got["src/c.ts"].calls == []
+
+
+def test_tokens_of_a_large_file_stay_small():
+    import tracemalloc
+
+    text = "export class N {\n" + "".join(f"  m{i}() {{ return 1 }}\n" for i in range(5000)) + "}\n"
+    tracemalloc.start()
+    tokens = ts.tokenize(text)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert len(tokens) == 35005 and held < 30 * len(tokens)
+    assert [t.text for t in tokens[4:11]] == ["m0", "(", ")", "{", "return", "1", "}"]
+
+
+def test_a_file_goes_out_before_the_next_is_read():
+    import pyarrow as pa
+
+    texts = [f"export function f{i}() {{ g() }}" for i in range(3)] + ["x`a${b()}c`", None]
+    batch = pa.RecordBatch.from_arrays([pa.array([f"{i}.ts" for i in range(5)]), pa.array(texts)], ["path", "content"])
+    out = list(ts._parse_batches(iter([batch])))
+    assert [b.num_rows for b in out] == [1] * 5
+    for i, b in enumerate(out):
+        row = b.to_pylist()[0]
+        assert row.pop("path") == f"{i}.ts" and row == ts.parse(f"{i}.ts", texts[i] or "")
